@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, packing, secrets, simhash, substring
+from palimpsest.llm import html, langid, licenses, media, mixing, packing, secrets, simhash, substring, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,20 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store(table(spark, sf_dir, "documents")), ("doc_id", "n_bytes"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs), ("doc_id",))
+    return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, _ = secrets.scan(table(spark, sf_dir, "documents"))
     base = paths.withColumn("base", F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE])))
@@ -32,6 +46,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    told = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["kind"], x["start"], x["end"], x["differences"]))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(told, ",").alias("licenses"), F.array_max(F.col("licenses.saved")).alias("most_saved"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % topk.QUERY_EVERY == 0))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,11 +65,32 @@ def queries() -> dict:
     return {
         "op1_pack": op1_pack,
         "op2_substring": op2_substring,
+        "op3_media": op3_media,
+        "op4_language": op4_language,
+        "op5_html": op5_html,
         "op6_secrets": op6_secrets,
         "op7_simhash": op7_simhash,
+        "op8_licenses": op8_licenses,
+        "op9_topk": op9_topk,
         "op10_mix": op10_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The exact top-k is plain SQL, in its brute-force form; the others are tested against brute-force code."""
+    return {
+        "op9_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w)
+                WHERE q.vec_id % 20 = 0
+            ), r AS (
+                SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+            )
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+        """,
+    }
