@@ -1 +1,12 @@
+"""Registered queries of the engine."""
 
+from palimpsest.plans import aggregates, joins, scalars  # noqa: F401
+from palimpsest.plans.registry import ORACLES, QUERIES
+
+
+def queries() -> dict:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLES
