@@ -72,7 +72,7 @@ def join_label_sources(t):
     return own.unionByName(side).groupBy("source", "label").agg(F.count("*").alias("n"))
 
 
-@query("join_prior_edits", "SELECT a.event_id, b.event_id AS prior FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts AND epoch_us(a.ts) - epoch_us(b.ts) <= 3600 * 1000000")
+@query("join_prior_edits", "SELECT a.event_id, b.event_id AS prior FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts AND epoch_us(a.ts) - epoch_us(b.ts) <= 3600 * CAST(1000000 AS BIGINT)")
 def join_prior_edits(t):
     a = t.events.select("event_id", "user_id", "ts")
     b = t.events.select(F.col("event_id").alias("prior"), "user_id", F.col("ts").alias("prior_ts"))
