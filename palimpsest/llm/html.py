@@ -5,7 +5,8 @@ forms, scripts, styles, reader comments, hidden parts) are cut out by their name
 is left has a density: its characters per tag, adjusted by how much of both are links. A node's density sum is that of
 its children's densities. The node with the greatest sum is the core; the least density on the path from it to the body
 is the threshold. Going down from the body, each node that reaches the threshold gives the subtree of greatest sum in it;
-if that lies in an article element, the article is taken whole, and if it holds articles, those are taken.
+if that lies in an article element, the article is taken whole, and if it holds articles, those are taken; elsewhere,
+blocks in it that are nothing but links are left out.
 
 Text is decoded, white space in a block made one space, and blocks joined by one space in page order.
 
@@ -169,10 +170,15 @@ class Page:
                 if self.names[up] in ARTICLE:
                     article = up
                 up = self.parents[up]
+            held: list[int] = []
             if article < 0:
                 held = [j for j in range(k, self.last[k] + 1) if articles[j + 1] > articles[j] and chars[j]]
             for j in [article] if article >= 0 else held or [k]:
                 inside[j : self.last[j] + 1] = [True] * (self.last[j] + 1 - j)
+            if article < 0 and not held:  # outside of articles, blocks that are all links have density 0
+                for j in range(k + 1, self.last[k] + 1):
+                    if self.names[j] not in INLINE and chars[j] and not density[j]:
+                        inside[j : self.last[j] + 1] = [False] * (self.last[j] + 1 - j)
         blocks: dict[int, list[str]] = {}
         for k, b, t in kept:
             if inside[k]:

@@ -626,19 +626,17 @@ def digests(media: DataFrame, carry: tuple[str, ...] = (), column: str = "media"
 def decoded(media: DataFrame, carry: tuple[str, ...], column: str, fields: tuple[str, ...], of) -> DataFrame:
     held = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried")
     kept = media.select(held).schema["carried"].dataType.simpleString()
+    names = [f.split()[0] for f in fields]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        schema = to_arrow_schema(StructType.fromDDL(", ".join(fields)))
         for batch in batches:
             files = batch["media"].to_pylist()
             for a, b in runs([len(f) for f in files]):
                 facts, found = coefficients(files[a:b])
                 rows = [of(f, c, rgb, file) for f, c, rgb, file in zip(facts, found, tensors(facts, found), files[a:b], strict=True)]
-                columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["carried"].slice(a, b - a), *columns], names=["carried", *schema.names])
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["carried"].slice(a, b - a), *columns], names=["carried", *names])
 
     found = media.select(held, F.col(column).alias("media")).mapInArrow(work, f"carried {kept}, {', '.join(fields)}")
-    return found.select(*[F.col("carried")[c].alias(c) for c in carry], *[f.split()[0] for f in fields])
+    return found.select(*[F.col("carried")[c].alias(c) for c in carry], *names)

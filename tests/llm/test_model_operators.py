@@ -109,7 +109,7 @@ def test_language_on_held_out_rows(spark):
     df = queries()["op4_language"](spark, "/root/testdata/sf0.01")
     truth = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = rows(df)
-    assert Counter(r["doc_id"] for r in got) == Counter(truth)
+    assert Counter(r["doc_id"] for r in got) == Counter(list(truth))
     held = [r for r in got if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     assert all(0 <= r["score"] <= 1 for r in got)
