@@ -175,9 +175,9 @@ class Page:
                 held = [j for j in range(k, self.last[k] + 1) if articles[j + 1] > articles[j] and chars[j]]
             for j in [article] if article >= 0 else held or [k]:
                 inside[j : self.last[j] + 1] = [True] * (self.last[j] + 1 - j)
-            if article < 0 and not held:  # outside of articles, blocks that are all links have density 0
+            if article < 0 and not held:  # outside of articles, blocks that are all links go
                 for j in range(k + 1, self.last[k] + 1):
-                    if self.names[j] not in INLINE and chars[j] and not density[j]:
+                    if self.names[j] not in INLINE and chars[j] and link_chars[j] == chars[j]:
                         inside[j : self.last[j] + 1] = [False] * (self.last[j] + 1 - j)
         blocks: dict[int, list[str]] = {}
         for k, b, t in kept:
