@@ -75,8 +75,10 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """node, community: each round a node takes the label with most weight around it, ties to the smaller label."""
-    e = cut(projection(edges))
+    """node, community: each round a node takes the label with most weight around it, ties to the smaller label. Its own
+    label counts as much as its strongest edge, so that two nodes don't swap labels for ever."""
+    e = projection(edges)
+    e = cut(e.unionByName(e.groupBy("src").agg(F.max("w").alias("w")).select("src", F.col("src").alias("dst"), "w")))
     labels = cut(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
     for _ in range(rounds):
         votes = e.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.round(F.sum("w"), 9).alias("votes"))

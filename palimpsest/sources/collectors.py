@@ -23,7 +23,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """path, head (string to string), body of notes; notes whose head isn't JSON go."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return parsed_notes(raw)
 
 
