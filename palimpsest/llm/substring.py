@@ -33,10 +33,14 @@ from palimpsest.llm.common import session_of, shared_folder, shuffle_parts, stag
 
 WINDOW = 35
 BLOCK_BYTES = 6_000_000
+#: Bytes of a block that are hashed at once.
+KEY_BYTES = 1_000_000
 #: Positions of a sketch row for each window of the corpus, at least.
 SPARSE = 4
 ROWS = 2
 SHARD_BITS = 22
+#: A shard of exact groups has windows of so much less of the corpus than one of a sketch.
+FINER = 3
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -58,16 +62,30 @@ class Block:
         self.at = np.flatnonzero(doc[:n] == doc[window - 1 :][:n])  # words at which a window starts
         self.begin, self.end = self.starts[self.at], ends[self.at + window - 1]
 
+    def parts(self) -> Iterator[tuple[int, int]]:
+        """Runs of whole documents of about KEY_BYTES, as (first byte, byte after the last)."""
+        own = self.words[self.words > 0]
+        first = self.starts[np.cumsum(own) - own].tolist()
+        begin = 0
+        for k in range(1, len(first) + 1):
+            stop = first[k] if k < len(first) else len(self.bytes) + 1
+            if k == len(first) or (first[k + 1] if k + 1 < len(first) else len(self.bytes) + 1) - begin > KEY_BYTES:
+                yield begin, stop
+                begin = stop
+
     def keys(self) -> np.ndarray:
         """A 64-bit hash of each window's words: a difference of prefix sums, shifted to start at power 0."""
-        of = np.frombuffer(self.bytes, dtype=np.uint8).astype(U) + U(1)
-        powers = np.cumprod(np.concatenate([[U(1)], np.full(len(of), U(BASE))]).astype(U))
-        prefix = np.concatenate([np.zeros(1, dtype=U), np.cumsum(of * powers[:-1])])
-        back = np.cumprod(np.concatenate([[U(1)], np.full(len(of), U(pow(BASE, -1, 1 << 64)))]).astype(U))
-        keys = (prefix[self.end] - prefix[self.begin]) * back[self.begin]
-        keys = (keys ^ (keys >> U(30))) * U(MIX[0])
-        keys = (keys ^ (keys >> U(27))) * U(MIX[1])
-        return keys ^ (keys >> U(31))
+        every, out = np.frombuffer(self.bytes, dtype=np.uint8), np.zeros(len(self.at), dtype=U)
+        for a, b in self.parts():
+            of = every[a:b].astype(U) + U(1)
+            powers, back = powers_to(len(of))
+            prefix = np.concatenate([np.zeros(1, dtype=U), np.cumsum(of * powers[: len(of)])])
+            x, y = np.searchsorted(self.begin, [a, b])
+            begin, end = self.begin[x:y] - a, self.end[x:y] - a
+            out[x:y] = (prefix[end] - prefix[begin]) * back[begin]
+        out = (out ^ (out >> U(30))) * U(MIX[0])
+        out = (out ^ (out >> U(27))) * U(MIX[1])
+        return out ^ (out >> U(31))
 
     def digests(self, of: np.ndarray) -> np.ndarray:
         """The 128-bit digests of some windows' words, as two columns."""
@@ -76,6 +94,17 @@ class Block:
         return np.frombuffer(joined, dtype="<u8").reshape(-1, 2)
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def powers_to(n: int) -> list[np.ndarray]:
+    """BASE to the powers 0 to n at least, and its inverse; kept by the process."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n, KEY_BYTES) + 1
+        _POWERS[:] = [np.cumprod(np.concatenate([[U(1)], np.full(size - 1, U(x))]).astype(U)) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS
+
+
 def positions(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     """Where a count-min row counts each window."""
     mixed = (keys ^ (keys >> U(29))) * U(MIX[0]) if row else keys
@@ -218,7 +247,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     windows = blocks.agg(F.sum("windows")).first()[0] or 0
     bits = max(12, (SPARSE * windows).bit_length())
     shift = min(shard_bits, bits)
-    exact_shards = 1 << max(0, (windows >> shard_bits).bit_length())
+    exact_shards = 1 << max(0, (windows >> (shard_bits - FINER)).bit_length())
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
