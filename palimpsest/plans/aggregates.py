@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.bindings import ATOMS, AUDIT, FACTS, NOW, OUTCOMES, atoms, audit, facts, outcomes
+from palimpsest.plans.bindings import ATOMS, AUDIT, FACTS, NOW, OUTCOMES, atoms, audit, facts, outcomes, now_
 from palimpsest.plans.registry import query
 
-NOW_ = F.expr(NOW)
 count_if = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
 
 
@@ -94,7 +93,7 @@ def agg_monthly_usage(t):
 
 @query("agg_tier_growth", f"WITH {ATOMS} SELECT tier, count(*) AS n FROM atoms WHERE created_at >= {NOW} - INTERVAL 60 DAY GROUP BY tier")
 def agg_tier_growth(t):
-    return atoms(t).where(F.col("created_at") >= NOW_ - F.expr("INTERVAL 60 DAY")).groupBy("tier").agg(F.count("*").alias("n"))
+    return atoms(t).where(F.col("created_at") >= now_() - F.expr("INTERVAL 60 DAY")).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 @query("agg_fact_stats", f"WITH {FACTS} SELECT count(*) AS n, count(DISTINCT entity) AS entities, count(DISTINCT attribute) AS attributes, count(*) FILTER (valid_to IS NULL) AS current FROM facts")
@@ -207,7 +206,7 @@ def agg_episode_themes(t):
 
 @query("agg_growth_leaks", f"WITH {ATOMS}, g AS (SELECT collection, count(*) AS now_n, count(*) FILTER (created_at < {NOW} - INTERVAL 30 DAY) AS then_n FROM atoms GROUP BY collection) SELECT collection, now_n, then_n, now_n > 1.05 * then_n AS leak FROM g")
 def agg_growth_leaks(t):
-    g = atoms(t).groupBy("collection").agg(F.count("*").alias("now_n"), F.count(F.when(F.col("created_at") < NOW_ - F.expr("INTERVAL 30 DAY"), 1)).alias("then_n"))
+    g = atoms(t).groupBy("collection").agg(F.count("*").alias("now_n"), F.count(F.when(F.col("created_at") < now_() - F.expr("INTERVAL 30 DAY"), 1)).alias("then_n"))
     return g.withColumn("leak", F.col("now_n") > 1.05 * F.col("then_n"))
 
 
@@ -255,7 +254,7 @@ def agg_subjects(t):
 
 @query("agg_stale_ratio", f"WITH {ATOMS} SELECT collection, round(avg(CASE WHEN created_at < {NOW} - INTERVAL 180 DAY THEN 1.0 ELSE 0.0 END), 6) AS stale, count(*) FILTER (confidence < 0.3) AS low FROM atoms GROUP BY collection")
 def agg_stale_ratio(t):
-    return atoms(t).groupBy("collection").agg(F.round(F.avg(F.when(F.col("created_at") < NOW_ - F.expr("INTERVAL 180 DAY"), 1.0).otherwise(0.0)), 6).alias("stale"), F.count(F.when(F.col("confidence") < 0.3, 1)).alias("low"))
+    return atoms(t).groupBy("collection").agg(F.round(F.avg(F.when(F.col("created_at") < now_() - F.expr("INTERVAL 180 DAY"), 1.0).otherwise(0.0)), 6).alias("stale"), F.count(F.when(F.col("confidence") < 0.3, 1)).alias("low"))
 
 
 @query("agg_domain_index", "SELECT lang, array_to_string(list_sort(list(doc_id))[1:20], ',') AS first FROM documents GROUP BY lang")

@@ -98,3 +98,8 @@ def duck_decay(created: str, collection: str, until: str) -> str:
     half = f"CASE {collection} WHEN 'personal' THEN 90.0 WHEN 'context' THEN 30.0 WHEN 'experience' THEN 180.0 WHEN 'semantic' THEN 365.0 WHEN 'patterns' THEN 90.0 END"
     age = f"greatest(0.0, (epoch({NOW}) - epoch({created})) / 86400.0)"
     return f"(CASE WHEN ({half}) IS NULL THEN 1.0 ELSE greatest(0.25, pow(0.5, {age} / ({half}))) END) * (CASE WHEN {until} < {NOW} THEN 0.3 ELSE 1.0 END)"
+
+
+def now_():
+    """The time that queries take for now."""
+    return F.expr(NOW)

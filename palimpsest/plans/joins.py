@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.operators import joins
-from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, FACTS, NOW, atoms, audit, duck_jaccard, duck_tokens, edges, facts
+from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, FACTS, NOW, atoms, audit, duck_jaccard, duck_tokens, edges, facts, now_
 from palimpsest.plans.registry import query
 
-NOW_ = F.expr(NOW)
 COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
 
 

@@ -7,23 +7,22 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import temporal, text
 from palimpsest.operators import graph, joins, rank, state
-from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, NOW, atoms, audit, duck_decay, duck_jaccard, duck_tokens, edges
+from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, NOW, atoms, audit, duck_decay, duck_jaccard, duck_tokens, edges, now_
 from palimpsest.plans.joins import PART_EDGES, part_edges
 from palimpsest.plans.registry import query
 
-NOW_ = F.expr(NOW)
 C = F.col
 AGE = f"greatest(0.0, (epoch({NOW}) - epoch(created_at)) / 86400)"
 
 
 @query("rank_decay", f"WITH {ATOMS} SELECT id, round({duck_decay('created_at', 'collection', 'valid_until')}, 6) AS weight FROM atoms".replace("created_at < NULL", "FALSE"))
 def rank_decay(t):
-    return atoms(t).select("id", F.round(temporal.decay(C("created_at"), C("collection"), C("valid_until"), NOW_), 6).alias("weight"))
+    return atoms(t).select("id", F.round(temporal.decay(C("created_at"), C("collection"), C("valid_until"), now_()), 6).alias("weight"))
 
 
 @query("rank_effective_trust", f"WITH {ATOMS} SELECT id, CAST(round(CASE collection WHEN 'canonical' THEN greatest(0.8, 1.0 - 0.02 * {AGE}) WHEN 'knowledge' THEN greatest(0.8, 0.9 - 0.005 * {AGE}) WHEN 'personal' THEN 0.85 WHEN 'experience' THEN 0.85 WHEN 'semantic' THEN 0.8 WHEN 'context' THEN 0.75 WHEN 'obsidian' THEN 0.6 ELSE 0.7 END, 6) AS DOUBLE) AS trust FROM atoms")
 def rank_effective_trust(t):
-    return atoms(t).select("id", F.round(temporal.effective_trust(C("collection"), C("created_at"), NOW_), 6).alias("trust"))
+    return atoms(t).select("id", F.round(temporal.effective_trust(C("collection"), C("created_at"), now_()), 6).alias("trust"))
 
 
 @query("rank_overlap", f"WITH q AS (SELECT item_id, {duck_tokens('text')} AS q FROM benchmark WHERE item_id < 3), d AS (SELECT doc_id, {duck_tokens('substr(text, 1, 40)')} AS h, {duck_tokens('substr(text, 1, 1500)')} AS b FROM documents), s AS (SELECT item_id, doc_id, {duck_jaccard('q', 'h')} AS jt, {duck_jaccard('q', 'b')} AS jb FROM q, d) SELECT item_id, doc_id, round((1 + 2 * jt + jb) * CASE WHEN jt = 0 AND jb < 0.05 THEN 0.6 ELSE 1.0 END, 6) AS factor FROM s")
@@ -52,7 +51,7 @@ def rank_deboost(t):
 
 @query("rank_salience", f"WITH {ATOMS} SELECT id, round(10 * (pow(0.5, {AGE} / 90) + (least(coalesce(trust, 0.7), 1.0) + least(ln(1 + accesses) / ln(50.0), 1.0)) / 2) / 2, 6) AS bonus FROM atoms")
 def rank_salience(t):
-    return atoms(t).select("id", F.round(rank.salience(temporal.age_days(C("created_at"), NOW_), C("trust"), C("accesses")), 6).alias("bonus"))
+    return atoms(t).select("id", F.round(rank.salience(temporal.age_days(C("created_at"), now_()), C("trust"), C("accesses")), 6).alias("bonus"))
 
 
 LTR = [0.8, 0.5, 0.3, -0.2]
@@ -76,7 +75,7 @@ def rank_ce_blend(t):
 
 @query("rank_support", f"WITH {ATOMS} SELECT id, round((0.5 * confidence + 0.35 * coalesce(trust, 0.5) + 0.15 * quality) * CASE WHEN valid_until < {NOW} THEN 0.4 WHEN created_at < {NOW} - INTERVAL 180 DAY THEN 0.7 ELSE 1.0 END, 9) AS support FROM atoms")
 def rank_support(t):
-    expired, stale = C("valid_until") < NOW_, C("created_at") < NOW_ - F.expr("INTERVAL 180 DAY")
+    expired, stale = C("valid_until") < now_(), C("created_at") < now_() - F.expr("INTERVAL 180 DAY")
     return atoms(t).select("id", F.round(rank.support(C("confidence"), C("trust"), C("quality"), expired, stale), 9).alias("support"))
 
 
@@ -97,9 +96,9 @@ def rank_conflict_flags(t):
 def rank_cascade(t):
     stages = [
         rank.Stage("trust", rank.scaled(rank.trust_multiplier(C("trust")))),
-        rank.Stage("decay", rank.decayed(NOW_)),
+        rank.Stage("decay", rank.decayed(now_())),
         rank.Stage("canonical", rank.added(F.when(C("collection") == "canonical", 8).otherwise(0))),
-        rank.Stage("salience", rank.added(rank.salience(temporal.age_days(C("created_at"), NOW_), C("trust"), C("accesses"))), enabled=False),
+        rank.Stage("salience", rank.added(rank.salience(temporal.age_days(C("created_at"), now_()), C("trust"), C("accesses"))), enabled=False),
     ]
     s = rank.run(atoms(t).withColumn("score", C("confidence") * 100), stages)
     return joins.top_k(s, ["topic_key"], [F.desc(F.round("score", 8)), C("id")], 5).select("topic_key", "id", F.round("score", 4).alias("score"))
@@ -117,7 +116,7 @@ def state_sm2(t):
 
 @query("state_tier_promotion", f"WITH {ATOMS} SELECT id, CASE WHEN tier = 'episodic' AND reinforced >= 2 AND interval_days >= 6 THEN 'semantic' WHEN tier = 'semantic' AND reinforced >= 5 AND interval_days >= 30 AND collection <> 'canonical' THEN 'core' ELSE tier END AS tier, tier <> 'core' AND reinforced = 0 AND (next_review IS NULL OR next_review < {NOW} - INTERVAL 180 DAY) AS obsolete FROM atoms")
 def state_tier_promotion(t):
-    obsolete = (C("tier") != "core") & (C("reinforced") == 0) & (C("next_review").isNull() | (C("next_review") < NOW_ - F.expr("INTERVAL 180 DAY")))
+    obsolete = (C("tier") != "core") & (C("reinforced") == 0) & (C("next_review").isNull() | (C("next_review") < now_() - F.expr("INTERVAL 180 DAY")))
     return atoms(t).select("id", state.promoted(C("tier"), C("reinforced"), C("interval_days"), C("collection") == "canonical").alias("tier"), obsolete.alias("obsolete"))
 
 
@@ -162,7 +161,7 @@ def state_orphans(t):
 
 @query("state_consolidation", f"WITH {ATOMS} SELECT id, CASE WHEN created_at < {NOW} - INTERVAL 180 DAY AND confidence < 0.1 THEN 'drop' WHEN created_at < {NOW} - INTERVAL 7 DAY AND confidence < 0.2 THEN 'compress' WHEN created_at < {NOW} - INTERVAL 3 DAY AND confidence < 0.3 THEN 'fade' ELSE 'keep' END AS action FROM atoms")
 def state_consolidation(t):
-    old = lambda d: C("created_at") < NOW_ - F.expr(f"INTERVAL {d} DAY")
+    old = lambda d: C("created_at") < now_() - F.expr(f"INTERVAL {d} DAY")
     return atoms(t).select("id", F.when(old(180) & (C("confidence") < 0.1), "drop").when(old(7) & (C("confidence") < 0.2), "compress").when(old(3) & (C("confidence") < 0.3), "fade").otherwise("keep").alias("action"))
 
 

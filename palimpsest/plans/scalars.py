@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import temporal, text, vector
 from palimpsest.operators import filters
-from palimpsest.plans.bindings import ATOMS, AUDIT, FACTS, NOW, atoms, audit, duck_jaccard, duck_tokens, facts
+from palimpsest.plans.bindings import ATOMS, AUDIT, FACTS, NOW, atoms, audit, duck_jaccard, duck_tokens, facts, now_
 from palimpsest.plans.registry import query
 
-NOW_ = F.expr(NOW)
 D = duck_tokens
 
 
@@ -54,7 +53,7 @@ def fn_logit(t):
 
 @query("fn_age_days", f"WITH {ATOMS} SELECT id, round((epoch({NOW}) - epoch(created_at)) / 86400, 4) AS age FROM atoms")
 def fn_age_days(t):
-    return atoms(t).select("id", F.round(temporal.age_days(F.col("created_at"), NOW_), 4).alias("age"))
+    return atoms(t).select("id", F.round(temporal.age_days(F.col("created_at"), now_()), 4).alias("age"))
 
 
 @query("fn_try_timestamp", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(epoch(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 28 AS INT))) AS BIGINT) END AS at FROM documents")
@@ -182,7 +181,7 @@ def flt_entity(t):
 
 @query("flt_hygiene", f"WITH {ATOMS} SELECT id, tier FROM atoms WHERE superseded_by IS NULL AND tier <> 'obsolete' AND NOT provisional AND (speaker = 'owner' OR starts_with(speaker, 'canonical')) AND scope <> 'session' AND (trust IS NULL OR trust >= 0.3) AND (valid_until IS NULL OR valid_until >= {NOW})")
 def flt_hygiene(t):
-    return atoms(t).where(filters.hygiene(NOW_)).select("id", "tier")
+    return atoms(t).where(filters.hygiene(now_())).select("id", "tier")
 
 
 @query("flt_as_of", f"WITH {FACTS} SELECT id, entity, value FROM facts WHERE valid_from <= TIMESTAMP '1996-06-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1996-06-01')")
@@ -232,7 +231,7 @@ def flt_normalise_hit(t):
 
 @query("flt_review_due", f"WITH {ATOMS} SELECT id, tier FROM atoms WHERE next_review <= {NOW} AND tier IN ('semantic', 'core') ORDER BY next_review, id LIMIT 40")
 def flt_review_due(t):
-    return atoms(t).where((F.col("next_review") <= NOW_) & F.col("tier").isin("semantic", "core")).orderBy("next_review", "id").limit(40).select("id", "tier")
+    return atoms(t).where((F.col("next_review") <= now_()) & F.col("tier").isin("semantic", "core")).orderBy("next_review", "id").limit(40).select("id", "tier")
 
 
 @query("flt_stale", f"WITH {AUDIT} SELECT session, count(*) AS n FROM audit GROUP BY session HAVING max(ts) < (SELECT max(ts) FROM audit) - INTERVAL 2 DAY")

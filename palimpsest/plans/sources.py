@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.operators import evaluation, joins
-from palimpsest.plans.bindings import ATOMS, AUDIT, NOW, atoms, audit, duck_tokens
+from palimpsest.plans.bindings import ATOMS, AUDIT, NOW, atoms, audit, duck_tokens, now_
 from palimpsest.plans.registry import query
 from palimpsest.plans.windows import LISTS, ranked_lists
 from palimpsest.sources import collectors, snapshot
 from palimpsest.streaming import windows as streams
 
 C = F.col
-NOW_ = F.expr(NOW)
 
 
 @query("src_scan", "SELECT doc_id, lang FROM documents WHERE lang = 'fr' AND n_chars > 300 ORDER BY doc_id LIMIT 30 OFFSET 15")
@@ -256,7 +255,7 @@ def eval_contract_audit(t):
 
 @query("eval_freshness", f"WITH {ATOMS} SELECT path, CAST(epoch({NOW}) - epoch(max(created_at)) AS BIGINT) AS age, epoch({NOW}) - epoch(max(created_at)) > 5 * 86400 AS late FROM atoms GROUP BY path")
 def eval_freshness(t):
-    age = NOW_.cast("timestamp").cast("long") - F.max("created_at").cast("timestamp").cast("long")
+    age = now_().cast("timestamp").cast("long") - F.max("created_at").cast("timestamp").cast("long")
     return atoms(t).groupBy("path").agg(age.alias("age")).withColumn("late", C("age") > 5 * 86400)
 
 

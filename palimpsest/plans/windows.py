@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.operators import fusion, joins, windows
-from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, NOW, OUTCOMES, atoms, audit, duck_jaccard, duck_tokens, edges, outcomes
+from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, NOW, OUTCOMES, atoms, audit, duck_jaccard, duck_tokens, edges, outcomes, now_
 from palimpsest.plans.registry import query
 
-NOW_ = F.expr(NOW)
 
 
 @query("win_edge_dedup", f"WITH {EDGES}, e AS (SELECT src % 20 AS src, dst % 30 AS dst, w, n FROM edges) SELECT src, dst, round(w, 6) AS w, n FROM e QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY e.w DESC, n DESC) = 1")
@@ -158,7 +157,7 @@ def topk_decay_filter(t):
 
 @query("topk_sample", f"WITH {ATOMS} SELECT id FROM atoms WHERE confidence >= 0.6 AND created_at < {NOW} - INTERVAL 7 DAY ORDER BY md5(concat(CAST(id AS STRING), ':7')), id LIMIT 32")
 def topk_sample(t):
-    old = atoms(t).where("confidence >= 0.6").where(F.col("created_at") < NOW_ - F.expr("INTERVAL 7 DAY"))
+    old = atoms(t).where("confidence >= 0.6").where(F.col("created_at") < now_() - F.expr("INTERVAL 7 DAY"))
     return old.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":7"))), "id").limit(32).select("id")
 
 
@@ -231,7 +230,7 @@ def set_activation_merge(t):
 
 @query("set_belief_diff", f"WITH {ATOMS} SELECT 'new' AS signal, count(*) AS n FROM atoms WHERE created_at >= {NOW} - INTERVAL 30 DAY UNION ALL SELECT 'superseded', count(*) FROM atoms WHERE superseded_by IS NOT NULL UNION ALL SELECT 'expired', count(*) FROM atoms WHERE valid_until < {NOW} UNION ALL SELECT 'due', count(*) FROM atoms WHERE next_review < {NOW}")
 def set_belief_diff(t):
-    signals = {"new": F.col("created_at") >= NOW_ - F.expr("INTERVAL 30 DAY"), "superseded": F.col("superseded_by").isNotNull(), "expired": F.col("valid_until") < NOW_, "due": F.col("next_review") < NOW_}
+    signals = {"new": F.col("created_at") >= now_() - F.expr("INTERVAL 30 DAY"), "superseded": F.col("superseded_by").isNotNull(), "expired": F.col("valid_until") < now_(), "due": F.col("next_review") < now_()}
     one = atoms(t).agg(*[F.count(F.when(c, 1)).alias(n) for n, c in signals.items()])
     return one.select(F.explode(F.create_map(*[x for n in signals for x in (F.lit(n), F.col(n))])).alias("signal", "n"))
 
