@@ -125,3 +125,27 @@ def capped_clusters(edges: DataFrame, most: int) -> DataFrame:
         return pd.DataFrame({"node": list(parent), "cluster": [find(x) for x in parent]})
 
     return e.join(labels.select(F.col("node").alias("src"), "root"), "src").groupBy("root").applyInPandas(choose, "node long, cluster long")
+
+
+def complete_link(points: DataFrame, least: float, most: int) -> DataFrame:
+    """points (group, id, embedding) -> (group, id, cluster): in order of ids, a point joins the first cluster all of whose
+    members have a cosine of `least` with it and that has room, or starts one. A group is one pass of its own."""
+    import numpy as np
+    import pandas as pd
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        x = np.stack(rows["embedding"].to_list()).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        clusters: list[list[int]] = []
+        out = []
+        for k in range(len(rows)):
+            at = next((c for c, own in enumerate(clusters) if len(own) < most and (x[own] @ x[k] >= least).all()), len(clusters))
+            if at == len(clusters):
+                clusters.append([])
+            clusters[at].append(k)
+            out.append(at)
+        return pd.DataFrame({"group": rows["group"], "id": rows["id"], "cluster": out})
+
+    kind = points.schema["group"].dataType.simpleString()
+    return points.groupBy("group").applyInPandas(choose, f"group {kind}, id long, cluster int")

@@ -1,6 +1,6 @@
 """Registered queries of the engine."""
 
-from palimpsest.plans import aggregates, joins, ranking, scalars, sources, windows  # noqa: F401
+from palimpsest.plans import aggregates, joins, ranking, retrieval, scalars, sources, windows  # noqa: F401
 from palimpsest.plans.registry import ORACLES, QUERIES
 
 

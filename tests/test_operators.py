@@ -212,3 +212,28 @@ def test_entry_imports_without_a_session():
 
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=120)
     assert said.returncode == 0, said.stderr
+
+
+def test_time_expressions():
+    from datetime import datetime
+
+    from palimpsest.functions import intervals
+
+    now = datetime(2025, 3, 5, 12, 30)  # a Wednesday
+    at = lambda x: intervals.parse(x, now)
+    assert at("2024-02-01") == datetime(2024, 2, 1) and at("2024-02-01T10:00:00Z") == datetime(2024, 2, 1, 10)
+    assert at("2024-02-01T10:00:00+02:00") == datetime(2024, 2, 1, 8)
+    assert at("7d") == at("1 week ago") == datetime(2025, 2, 26, 12, 30)
+    assert at("3 hours ago") == datetime(2025, 3, 5, 9, 30)
+    assert at("yesterday") == datetime(2025, 3, 4) and at("last week") == datetime(2025, 2, 26)
+    assert at("monday") == datetime(2025, 3, 3) and at("wednesday") == datetime(2025, 2, 26)
+    assert at("soon") is None and at("") is None and at(None) is None
+    assert intervals.parse_range("today", "yesterday", now) == (datetime(2025, 3, 4), datetime(2025, 3, 5))
+    assert intervals.intent("what did we say yesterday?", now) == (datetime(2025, 3, 4), datetime(2025, 3, 5))
+    assert intervals.intent("what happened last week", now) == (datetime(2025, 2, 26), now)
+    assert intervals.intent("no time", now) == (None, None)
+
+
+def test_complete_link(spark):
+    p = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [1.0, 0.1]), (1, 3, [0.0, 1.0]), (2, 4, [1.0, 0.0])], "group long, id long, embedding array<double>")
+    assert sorted(values(graph.complete_link(p, 0.9, 12))) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (2, 4, 0)]
