@@ -84,7 +84,8 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules=RU
         pairs = blobs.select("blob", "path", F.explode(versions_of).alias("x")).select("blob", "path", "x.*")
         seen = ledger.select("blob", "rule", "version").distinct()
         due = pairs.join(seen, ["blob", "rule", "version"], "left_anti").groupBy("blob", "path").agg(F.collect_set("rule").alias("due"))
-    own = texts.join(due.select("blob", "path", "due").hint("shuffle_hash"), ["path", "blob"])
+    first = due.select(F.col("blob").alias("_blob"), F.col("path").alias("_path"), "due").hint("shuffle_hash")
+    own = texts.join(first, F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")))
     own = own.select("blob", "due", *[F.when(F.array_contains("due", r.kind), spans(F.col("text"), r, k)).alias(r.kind) for k, r in enumerate(rules)])
     rows = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules]))
     new = own.select("blob", rows.alias("x")).select("blob", "x.*").where("spans is not null")

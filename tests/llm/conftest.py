@@ -14,7 +14,7 @@ ODD = [
     (8, "token: secret: abcdefghijklmnop passwd='short' Apikey : 0123456789abcdef ghp_" + "a1" * 20, "en", "src3", 5),
     (9, "w " * 30000 + "end", "en", "src1", 5),
     (10, " ".join(f"x{k % 50}" for k in range(400)), "en", "src1", 5),
-    (None, "no id here", "en", "src1", 5),
+    (None, "no id here, but token = abcdefghijklmnop", "en", "src1", 5),
 ]
 
 
