@@ -40,11 +40,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as much of them, as the mix takes."""
     mixed = mixing.mix(docs, carry=tuple(docs.columns))
-    taken = mixed.select("size", F.explode("passes").alias("n"), "carried").where("n > 0").select("size", "n", "carried.*")
-    cut = F.col("n") < F.col("size")
-    text = F.when(cut, mixing.first_words(F.col("text"), F.col("n"))).otherwise(F.col("text"))
-    out = taken.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*docs.columns)
+    taken = mixed.select("carried", F.col("size"), F.explode("passes").alias("n")).where("n > 0")
+    row, cut = F.col("carried"), F.col("n") < F.col("size")
+    text = F.when(cut, mixing.first_words(row["text"], F.col("n"))).otherwise(row["text"])
+    new = {"text": text, "n_chars": F.when(cut, F.length(text)).otherwise(row["n_chars"]).cast("long")}
+    return taken.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
