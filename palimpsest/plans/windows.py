@@ -42,10 +42,10 @@ def win_source_cap(t):
     return found.select("doc_id", "lang", F.col("rank").cast("long").alias("rank"))
 
 
-@query("win_run_delta", "WITH d AS (SELECT event_type AS track, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY ALL) SELECT track, CAST(day AS STRING) AS day, round(v - lag(v) OVER (PARTITION BY track ORDER BY day), 4) AS delta FROM d")
+@query("win_run_delta", "WITH d AS (SELECT event_type AS track, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY ALL) SELECT track, CAST(day AS STRING) AS day, round(v - lag(v) OVER (PARTITION BY track ORDER BY day), 9) AS delta FROM d")
 def win_run_delta(t):
     d = t.events.groupBy(F.col("event_type").alias("track"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    return d.select("track", F.col("day").cast("string").alias("day"), F.round(F.col("v") - F.lag("v").over(Window.partitionBy("track").orderBy("day")), 4).alias("delta"))
+    return d.select("track", F.col("day").cast("string").alias("day"), F.round(F.col("v") - F.lag("v").over(Window.partitionBy("track").orderBy("day")), 9).alias("delta"))
 
 
 @query("win_baseline", "WITH d AS (SELECT event_type AS track, date_trunc('hour', ts) AS h, count(*) AS v FROM events GROUP BY ALL), m AS (SELECT track, max(h) AS latest FROM d GROUP BY track) SELECT d.track, CAST(epoch(arg_min(h, abs(epoch(h) - epoch(latest - INTERVAL 24 HOUR)) * 1000000 + epoch(h) / 10000)) AS BIGINT) AS base FROM d JOIN m ON d.track = m.track WHERE abs(epoch(h) - epoch(latest - INTERVAL 24 HOUR)) <= 7200 GROUP BY d.track")
