@@ -12,7 +12,7 @@ Both directions work on many files at once. Restart markers cut each scan into s
 all segments of a kind advance together, one Huffman symbol each per step, so numpy's work a step is that of thousands of
 symbols.
 
-The reader takes baseline-free progressive files with three components (2x2, 1x1, 1x1), 8 bits, whole MCUs, any Huffman
+The reader takes progressive files with three components (2x2, 1x1, 1x1), 8 bits, whole MCUs, any Huffman
 tables, bands, bit positions, end-of-band runs and restart intervals; anything else raises ValueError.
 
 Nulls and odd cases: a null or empty text is 64 bytes 0; equal texts give equal files; repeated rows are kept; an empty
@@ -44,7 +44,6 @@ SCANS = (
     *((c, 1, 63, 1, 0) for c in range(PARTS)),
     (None, 0, 0, 1, 0),
 )
-LIMITS = {0: 12, 1: 11}  # bits of a difference or coefficient
 
 
 def zigzag() -> np.ndarray:
@@ -146,8 +145,14 @@ def packed(values: np.ndarray, lengths: np.ndarray, segment: np.ndarray, files:
     pad = -bits % 8
     at = np.searchsorted(segment, np.arange(segments), side="right")
     values, lengths = np.insert(values, at, (1 << pad) - 1), np.insert(lengths, at, pad)
-    spread = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-    data = np.packbits(spread[np.arange(32) >= 32 - lengths[:, None]])
+    wide = 8 if lengths.sum() < 3 * len(lengths) else 16
+    while len(long := np.flatnonzero(lengths > wide)):  # longer codes in two
+        above, more = values[long] >> wide, lengths[long] - wide
+        values[long] &= (1 << wide) - 1
+        lengths[long] = wide
+        values, lengths = np.insert(values, long, above), np.insert(lengths, long, more)
+    spread = np.unpackbits(values.astype(">u2" if wide == 16 else "u1").view(np.uint8).reshape(-1, wide // 8), axis=1)
+    data = np.packbits(spread[np.arange(wide, dtype=np.int8) >= (wide - lengths).astype(np.int8)[:, None]])
     ends = np.cumsum((bits + pad) // 8)
     same = np.append(files[1:] == files[:-1], False)  # a marker follows, unless the file's scan ends
     first = np.searchsorted(files, files)
@@ -174,9 +179,8 @@ def ordered_events(keys: list[np.ndarray], values: list[np.ndarray], lengths: li
     return key[order], np.concatenate(values)[order], np.concatenate(lengths)[order]
 
 
-def write_dc(c: np.ndarray, block_file: np.ndarray, segment: np.ndarray, first: bool, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def write_dc(c: np.ndarray, segment: np.ndarray, first: bool, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """c: the first coefficients in MCU order."""
-    del block_file
     if not first:
         return (c >> low) & 1, np.ones(len(c), dtype=np.int64), segment
     v = c >> low
@@ -232,7 +236,6 @@ def write_refined(c: np.ndarray, segment: np.ndarray, band: tuple[int, int], low
     before[np.concatenate([[True], block[1:] != block[:-1]])] = 0
     run = count - before
     code, length = codes(1)
-    width = 2 * 64 * 4
     place = lambda b, j, s: (b * 64 + j) * 4 + s
     keys, values, lengths = [], [], []
     # a new coefficient's code comes where its run begins: after the coefficient (new, or 16th zero) before it
@@ -266,7 +269,6 @@ def write_refined(c: np.ndarray, segment: np.ndarray, band: tuple[int, int], low
     keys.append(place(block, k, 2))
     values.append(v[block, k] & 1)
     lengths.append(np.ones(len(block), dtype=np.int64))
-    del width
     key, value, bits = ordered_events(keys, values, lengths)
     return value, bits, segment[key // (64 * 4)]
 
@@ -307,11 +309,10 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         each = 6 * mcus if part is None else (4 * mcus if part == 0 else mcus)
         unit = 6 * RESTART if part is None else RESTART
         own_segments = -(-each // unit)
-        file = np.repeat(np.arange(len(payloads)), each)
         within = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
         segment = np.repeat(np.cumsum(own_segments) - own_segments, each) + within // unit
         if part is None:
-            values, lengths, where = write_dc(blocks[of, 0], file, segment, not high, low)
+            values, lengths, where = write_dc(blocks[of, 0], segment, not high, low)
         elif not high:
             values, lengths, where = write_ac(blocks[of], segment, (a, z), low)
         else:
@@ -408,6 +409,19 @@ class Segments:
         self.at[of] += found & 31
         return found >> 5
 
+    def symbols_and_bits(self, of: np.ndarray, table: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next symbol of each, and as many bits after it as `extra` has for the symbol."""
+        at = self.at[of]
+        word = self.ahead[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64)
+        found = table[(word >> np.uint64(48)).astype(np.int64)]
+        if not found.all():
+            raise ValueError("no Huffman code fits")
+        length, symbol = found & 31, found >> 5
+        n = extra[symbol]
+        bits = ((word << length.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) >> (24 - n)
+        self.at[of] = at + length + n
+        return symbol, bits
+
 
 def extended(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(x < (1 << np.maximum(size - 1, 0)), x - (1 << size) + 1, x) * (size > 0)
@@ -433,26 +447,39 @@ def read_dc(c: np.ndarray, bits: Segments, first: np.ndarray, count: np.ndarray,
         c[blocks[first[on] + step], 0] = previous[on, p] << scan["low"]
 
 
+#: How many bits follow a symbol in the first scan of a band: the value's, or those of an end-of-band run.
+EXTRA = np.array([s & 15 if s & 15 else (s >> 4 if s >> 4 < 15 else 0) for s in range(256)])
+
+
 def read_ac(c: np.ndarray, bits: Segments, first: np.ndarray, count: np.ndarray, blocks: np.ndarray, scan: dict) -> None:
     (a, z), low, table = scan["band"], scan["low"], lookup(*scan["table"])
-    block, k = np.zeros(len(count), dtype=np.int64), np.full(len(count), a)
-    on = np.flatnonzero(count > 0)
-    flat = c.reshape(-1)
+    flat, on = c.reshape(-1), np.flatnonzero(count > 0)
+    place, stop = first[on], (first + count)[on]  # of the block that each active segment is at
+    k, base = np.full(len(on), a), blocks[place] * 64
     while len(on):
-        symbol = bits.symbols(on, table)
+        symbol, extra = bits.symbols_and_bits(on, table, EXTRA)
         run, size = symbol >> 4, symbol & 15
-        extra = bits.take(on, np.where(size > 0, size, np.where(run < 15, run, 0)))
         put = size > 0
-        k[on] += np.where(put | (run == 15), run, 0)
-        here = on[put]
-        flat[blocks[first[here] + block[here]] * 64 + k[here]] = extended(extra[put], size[put]) << low
-        k[on] += put | (run == 15)
-        ended = ~put & (run < 15)
-        over = ended | (k[on] > z)
-        block[on] += np.where(ended, (1 << np.minimum(run, 14)) + extra, over)
-        k[on[over]] = a
-        if over.any():
-            on = on[block[on] < count[on]]
+        if put.all():
+            k += run
+            flat[base + k] = extended(extra, size) << low
+            k += 1
+            over = k > z
+            if not over.any():
+                continue
+            place += over
+        else:
+            going = put | (run == 15)
+            k += np.where(going, run, 0)
+            flat[(base + k)[put]] = extended(extra[put], size[put]) << low
+            k += going
+            over = ~going | (k > z)
+            place += np.where(going, over, (1 << np.minimum(run, 14)) + extra)
+        k[over] = a
+        if (place >= stop).any():
+            left = place < stop
+            on, place, stop, k = on[left], place[left], stop[left], k[left]
+        base = blocks[place] * 64
 
 
 def read_refined(c: np.ndarray, bits: Segments, first: np.ndarray, count: np.ndarray, blocks: np.ndarray, scan: dict) -> None:
@@ -507,28 +534,39 @@ def read_refined(c: np.ndarray, bits: Segments, first: np.ndarray, count: np.nda
         c[own, at] = value
 
 
+def together(scans: list[dict]) -> list[list[dict]]:
+    """The scans in rounds: neighbours that do the same for different components are read as one."""
+    out: list[list[dict]] = []
+    for s in scans:
+        same = lambda o: all(o[x] == s[x] for x in ("band", "high", "low", "table"))
+        if out and len(s["parts"]) == 1 and all(len(o["parts"]) == 1 and o["parts"] != s["parts"] and same(o) for o in out[-1]) and s["band"][0]:
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return out
+
+
 def coefficients(files: list[bytes]) -> tuple[list[dict], list[np.ndarray]]:
     """Facts and coefficients (blocks x 64, zigzag; luma in raster order, then both chroma) of each file."""
     read = [parsed(f) for f in files]
     mcus = np.array([f["shape"][0] * f["shape"][1] for f, _ in read], dtype=np.int64)
     starts = 6 * (np.cumsum(mcus) - mcus)
     c = np.zeros((6 * int(mcus.sum()), 64), dtype=np.int64)
-    for k in range(max((len(s) for _, s in read), default=0)):
-        kinds: dict[tuple, list[int]] = {}
-        for f, (_, scans) in enumerate(read):
-            if k < len(scans):
-                s = scans[k]
-                kinds.setdefault((tuple(s["parts"]), s["band"], s["high"], s["low"], s["table"]), []).append(f)
+    rounds = [together(scans) for _, scans in read]
+    for k in range(max(map(len, rounds), default=0)):
+        kinds: dict[tuple, list[tuple[int, dict]]] = {}
+        for f, own in enumerate(rounds):
+            for s in own[k] if k < len(own) else ():
+                kinds.setdefault((len(s["parts"]), s["band"], s["high"], s["low"], s["table"]), []).append((f, s))
         for (parts, band, high, _, _), own in kinds.items():
             blocks, first, count, data, held = [], [], [], [], 0
-            for f in own:
-                scan, n, at = read[f][1][k], int(mcus[f]), int(starts[f])
-                whole = len(parts) > 1
-                if whole and parts != (0, 1, 2):
+            for f, scan in own:
+                n, at, whole = int(mcus[f]), int(starts[f]), parts > 1
+                if whole and scan["parts"] != [0, 1, 2]:
                     raise ValueError("scans of two components are not read")
-                b = at + mcu_order(*read[f][0]["shape"]) if whole else np.arange(at + own_blocks(parts[0], n)[0], at + own_blocks(parts[0], n)[1])
+                b = at + mcu_order(*read[f][0]["shape"]) if whole else np.arange(at + own_blocks(scan["parts"][0], n)[0], at + own_blocks(scan["parts"][0], n)[1])
                 unit = (scan["restart"] or len(b)) * (6 if whole else 1)
-                cuts = list(range(0, len(b), unit))
+                cuts = range(0, len(b), unit)
                 if len(cuts) != len(scan["segments"]):
                     raise ValueError("restart markers are missing")
                 blocks.append(b)
@@ -537,7 +575,7 @@ def coefficients(files: list[bytes]) -> tuple[list[dict], list[np.ndarray]]:
                 data += scan["segments"]
                 held += len(b)
             reader = read_dc if band[0] == 0 else read_refined if high else read_ac
-            reader(c, Segments(data), np.array(first), np.array(count), np.concatenate(blocks), read[own[0]][1][k])
+            reader(c, Segments(data), np.array(first), np.array(count), np.concatenate(blocks), own[0][1])
     return [f for f, _ in read], [c[a : a + 6 * n] for a, n in zip(starts.tolist(), mcus.tolist(), strict=True)]
 
 
