@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -34,6 +35,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system at the end of a task: workers idle on beside the next stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The cluster's partition count, which its owner sizes by the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

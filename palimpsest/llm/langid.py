@@ -20,9 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import give_back
+
 DIMENSIONS = 2048
 CENTROIDS = 4
 #: Labelled rows of each language that the model is fitted on, on average at most.
@@ -32,7 +35,7 @@ ROUNDS = 12
 MARGIN = 0.4
 UNDETERMINED = "und"
 ROWS_AT_ONCE = 256
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 500_000
 _LETTERS: list[np.ndarray] = []
 
 
@@ -163,6 +166,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), text: s
     """Every row's language: the carried columns, then lang_pred, score, rejected. Only the text is looked at."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    inside = text in carry  # then it isn't sent twice
     held = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried")
     fields = docs.select(held).schema["carried"].dataType.simpleString()
 
@@ -170,8 +174,10 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), text: s
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
-                names, score, rejected = shared.value.predict(part["text"].to_pylist())
+                texts = pc.struct_field(part["carried"], [carry.index(text)]) if inside else part["text"]
+                names, score, rejected = shared.value.predict(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([part["carried"], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["carried", "lang_pred", "score", "rejected"])
+        give_back()
 
-    found = docs.select(held, F.col(text).alias("text")).mapInArrow(work, f"carried {fields}, lang_pred string, score double, rejected boolean")
+    found = docs.select(held, *[] if inside else [F.col(text).alias("text")]).mapInArrow(work, f"carried {fields}, lang_pred string, score double, rejected boolean")
     return found.select(*[F.col("carried")[c].alias(c) for c in carry], "lang_pred", "score", "rejected")

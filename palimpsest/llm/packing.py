@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import hash_bucket, power_of_two, session_of, shuffle_parts, staged
+from palimpsest.llm.common import give_back, hash_bucket, power_of_two, session_of, shuffle_parts, staged
 from palimpsest.llm.tokens import chunks, word_tokenizer
 
 CAPACITY = 2048
@@ -59,6 +59,7 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capa
                 yield pa.RecordBatch.from_arrays(
                     [doc, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

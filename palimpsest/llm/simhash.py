@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import hot_safe_join, session_of, shuffle_parts, staged
+from palimpsest.llm.common import give_back, hot_safe_join, session_of, shuffle_parts, staged
 
 SHINGLE = 4
 SEED = 42
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch["text"]], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, "doc_id long, fp long")
 
@@ -111,6 +112,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         for batch in batches:
             cell, fp = cells(np.ascontiguousarray(batch["fp"].to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp)], names=["cell", "fp"])
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_cell, held_fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -131,6 +133,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield of(cell[:stop], fp[:stop])
             held_cell, held_fp = cell[stop:], fp[stop:]
         yield of(held_cell, held_fp)
+        give_back()
 
     parts = 2 * shuffle_parts(session_of(distinct))
     registered = distinct.mapInArrow(register, "cell long, fp long")
