@@ -11,8 +11,8 @@ Components are compared as floor(scale * x) in whole numbers; products are summe
 sum is below 2^53, in 64-bit integers beyond).
 
 Nulls and odd cases: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows
-without an id; vectors meet queries of the same number of components only; repeated rows are candidates of their own
-(all rows with the query's id are its own); ties go to the smaller id; an empty table gives no rows.
+without an id; vectors meet queries of the same number of components only; repeated rows are candidates and queries of
+their own, but no row with a query's id is its candidate; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ class Lists:
         return of[first], scores[first]
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, depths=DEPTHS) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, rows, scores) of each query."""
+        """(place of the query, rows, scores) of each query."""
         n, done, open_ = len(self.ids), [], np.arange(len(queries))
         for depth in (d for d in depths if d * 4 < n):
             high = np.take_along_axis(self.vectors, self.lists[depth - 1 : depth], axis=0)
@@ -71,7 +71,7 @@ class Lists:
                 seen = np.unique(np.concatenate([self.lists[:depth, queries[q] > 0].ravel(), self.lists[n - depth :, queries[q] < 0].ravel()]))
                 rows, scores = self.best(seen, int(query_ids[q]), products(queries[q : q + 1], self.vectors[seen])[0], k)
                 if len(rows) == k and scores[-1] > bound:
-                    done.append((int(query_ids[q]), rows, scores))
+                    done.append((q, rows, scores))
                 else:
                     left.append(q)
             open_ = np.array(left, dtype=int)
@@ -79,7 +79,7 @@ class Lists:
         for at in range(0, len(open_), 64):
             some = open_[at : at + 64]
             for q, scores in zip(some.tolist(), products(queries[some], self.vectors), strict=True):
-                done.append((int(query_ids[q]), *self.best(every, int(query_ids[q]), scores, k)))
+                done.append((q, *self.best(every, int(query_ids[q]), scores, k)))
         return done
 
 
@@ -100,17 +100,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "ve
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("whole").alias("dimensions")
     left = held.select("vec_id", "whole", size, deal(blocks).alias("block")).withColumn("group", every(groups))
-    right = asked.select("vec_id", "whole", size, deal(groups).alias("group")).withColumn("block", every(blocks))
+    again = F.row_number().over(Window.partitionBy("vec_id", "whole").orderBy("vec_id"))
+    right = asked.withColumn("row", F.xxhash64("whole", again)).select("vec_id", "whole", "row", size, deal(groups).alias("group")).withColumn("block", every(blocks))
 
     def meet(own: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(own) and len(of):
             lists = Lists(own["vec_id"].to_numpy(), np.stack(own["whole"].to_list()))
-            for q, found, scores in lists.search(of["vec_id"].to_numpy(), np.stack(of["whole"].to_list()), k):
-                rows.append(pd.DataFrame({"query_id": q, "vec_id": lists.ids[found], "score": scores.astype("int64")}))
-        return pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            ids, places = of["vec_id"].to_numpy(), of["row"].to_numpy()
+            for q, found, scores in lists.search(ids, np.stack(of["whole"].to_list()), k):
+                rows.append(pd.DataFrame({"query_id": ids[q], "row": places[q], "vec_id": lists.ids[found], "score": scores.astype("int64")}))
+        return pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []}, dtype="int64")
 
     keys = ["block", "group", "dimensions"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, row long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -240,6 +240,9 @@ def test_topk_of_odd_rows(spark):
     found = topk.search(df, df.where("vec_id % 20 = 0"))
     assert Counter(tuple(r.values()) for r in rows(found)) == brute_topk(given)
     assert rows(topk.search(df.limit(0), df.limit(0))) == []
+    twice = topk.search(df, df.where("vec_id = 20").union(df.where("vec_id = 20")))
+    own = Counter({x: 2 * n for x, n in brute_topk(given).items() if x[0] == 20})
+    assert Counter(tuple(r.values()) for r in rows(twice)) == own
 
 
 def test_threshold_stops_early_and_right():
