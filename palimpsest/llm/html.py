@@ -186,25 +186,36 @@ class Page:
         return " ".join(x for b in sorted(blocks) if (x := " ".join("".join(blocks[b]).split())))
 
     def subtrees(self, body: int, density: list[float], sums: list[float], chars: list[int], gone: list[bool]) -> list[int]:
-        """The content: under each node whose density reaches the threshold, the subtree of greatest density sum."""
+        """The content: under each node whose density reaches the threshold, the subtree of greatest density sum; then
+        the same for its children that are not in a subtree taken before."""
+        if not chars[body]:
+            return []
+        n = len(self.names)
+        below, children = [(-1.0, 0)] * n, [[] for _ in range(n)]  # the greatest sum under each node, the first of equals
+        for j in range(n - 1, 0, -1):
+            if chars[j] and not gone[j]:
+                p = self.parents[j]
+                below[p] = max(below[p], below[j], (sums[j], -j))
+                children[p].append(j)
 
         def core(k: int) -> int:
-            return max((j for j in range(k, self.last[k] + 1) if chars[j] and not gone[j]), key=lambda j: (sums[j] or density[j] * (j == k), -j), default=k)
+            return -max((sums[k] or density[k], -k), below[k])[1]
 
-        if not chars[body]:
-            return []
-        best = core(body)
-        threshold, up = density[best], best
+        up = best = core(body)
+        threshold = density[best]
         while up != body and up > 0:
             up = self.parents[up]
             threshold = min(threshold, density[up])
-        chosen, at = [], [body]
+        chosen, marked, at = [], [False] * n, [body]
         while at:
             k = at.pop()
-            if density[k] >= threshold:
-                chosen.append(core(k))
-            else:
-                at += [j for j in range(k + 1, self.last[k] + 1) if self.parents[j] == k and chars[j] and not gone[j]]
+            if marked[k] or density[k] < threshold:
+                continue
+            c = core(k)
+            if not marked[c]:
+                chosen.append(c)
+                marked[c : self.last[c] + 1] = [True] * (self.last[c] + 1 - c)
+            at += children[k]
         return chosen
 
 

@@ -179,6 +179,14 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_main_text_of_sibling_containers():
+    """No article element; two containers of the body both reach the threshold, a short one of links doesn't."""
+    first, second = ([f"{w} paragraph {k} " + "with many plain words " * 8 for k in range(n)] for w, n in (("First", 4), ("Second", 3)))
+    told = ["".join(f"<p>{x}</p>" for x in part) for part in (first, second)]
+    page = f"<html><body><div><a href=/a>a</a><a href=/b>b</a></div><div>{told[0]}</div><div>{told[1]}</div></body></html>"
+    assert html.main_text(page) == " ".join(x.strip() for x in first + second)
+
+
 def test_odd_page_rows(spark):
     df = spark.createDataFrame([(1, None, None, 5), (None, "u", "<p>x", 5), (1, None, None, 5)], "page_id long, url string, html string, text int")
     assert Counter((r["page_id"], r["url"], r["text"]) for r in rows(html.extract(df))) == Counter({(1, None, ""): 2, (None, "u", "x"): 1})
