@@ -6,16 +6,19 @@ ranked by how much they save. In that order they are confirmed by wording: the b
 compared, and what differs is counted. A full template is found if at most a fifth of its words differ; a notice, a single
 sentence that names a licence, only if none does. What lies before and after a licence found is a block again.
 
-Candidate blocks are runs of sentences that hold an anchor word, with short gaps. Only texts with an anchor reach Python.
+Candidate blocks are an anchor word and, on both sides of it, as many words as the longest wording may take; those that
+meet are one. So a licence is whole in its block wherever its anchor stands and however its lines are wrapped. Only texts
+with an anchor reach Python.
 
-Nulls and odd cases: a null or empty text has no block; a text of one endless sentence is cut into pieces of 60 words
-with half of them shared; repeated rows are scanned each for itself; an empty table gives no rows; other columns of the
-input are not read.
+Nulls and odd cases: a null or empty text has no block; sentences and lines play no part; repeated rows are scanned each
+for itself; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -24,8 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of which a licence has one at least.
-ANCHOR = r"(?i)licen[sc]|copyright|spdx|warrant|permission is|redistribut|public domain|creative commons|\bCC[ -](?:BY|0)|\bunder (?:the )?(?:[AL]?GPL|GNU|MPL|MIT|BSD|ISC|Apache|Mozilla)\b"
+#: Words of which a licence has one at least; a line's end and its mark of a comment may stand between two.
+ANCHOR = r"(?i)licen[sc]|copyright|spdx|warrant|permission\W+is|redistribut|public\W+domain|creative\W+commons|\bCC(?:\W+BY|\W*0)|\bunder\W+(?:the\W+)?(?:terms\W+of\W+)?(?:the\W+)?(?:[AL]?GPL|GNU|MPL|MIT|BSD|ISC|Apache|Mozilla|Unlicense)\b"
 #: Names by which notices call licences.
 NAMES = {
     "Apache-2.0": ("the Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"),
@@ -59,10 +62,10 @@ FULL = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-GAP = 2
-PIECE = 60
 MOST_DIFFERENT = 0.2
-UNIT = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|\Z)\s*")
+#: Words in a row by which places that may hold a wording are told.
+ROW = 3
+STOP = re.compile(r"[.!?][\"')\]]*\s|\n\s*\n")
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -70,34 +73,28 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
-def units(text: str) -> Iterator[tuple[int, int]]:
-    """Sentences and lines; endless ones in pieces that overlap by half."""
-    at = 0
-    while at < len(text):
-        m = UNIT.match(text, at)
-        end = max(m.end(), at + 1)
-        inner = [x.start() for x in WORD.finditer(text, at, end)]
-        if len(inner) <= 2 * PIECE:
-            yield at, end
-        else:
-            for k in range(0, len(inner) - PIECE // 2, PIECE // 2):
-                yield inner[k], inner[k + PIECE] if k + PIECE < len(inner) else end
-        at = end
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Runs of units with an anchor, with at most GAP units without one between them."""
-    anchor, out, gap = re.compile(ANCHOR), [], GAP + 1
-    for a, b in units(text):
-        if anchor.search(text, a, b):
-            if gap <= GAP and out:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
-            gap = 0
+@lru_cache(None)
+def reach() -> int:
+    """Words that the longest wording may take with what may differ in it."""
+    wordings = [*FULL.values(), *(f"{o} {c}" for o in OPENINGS for called in NAMES.values() for c in called)]
+    return math.ceil((1 + MOST_DIFFERENT) * max(len(words_of(x)) for x in wordings))
+
+
+def blocks(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Stretches of text[a:b] that reach() words on both sides of each anchor make up."""
+    found = [m.span() for m in re.finditer(ANCHOR, text[a:b])]
+    if not found:
+        return []
+    words, out = words_of(text[a:b]), []
+    starts, ends = [w[1] for w in words], [w[2] for w in words]
+    for x, y in found:
+        first = max(0, bisect_right(ends, x) - reach())
+        last = min(len(words), bisect_left(starts, y) + reach())
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
         else:
-            gap += 1
-    return out
+            out.append((first, last))
+    return [(a + starts[x], a + ends[y - 1]) for x, y in out if x < y]
 
 
 @lru_cache(None)
@@ -118,46 +115,73 @@ def templates():
     return plain, out
 
 
-def confirmed(own: list[tuple[str, int, int]], kind: str, wordings: list[list[str]]) -> tuple[int, int, int] | None:
+def places(words: list[str], wording: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of words that share enough rows of ROW words with the wording to hold it, likely ones first."""
+    n, slack = len(wording), math.ceil(MOST_DIFFERENT * len(wording))
+    rows = {tuple(wording[k : k + ROW]) for k in range(n - ROW + 1)}
+    hits = [k for k in range(len(words) - ROW + 1) if tuple(words[k : k + ROW]) in rows]
+    shared = sorted((k - bisect_left(hits, hits[k] + n + slack), hits[k]) for k in range(len(hits)))
+    tried: list[int] = []
+    for less, at in shared:
+        if -less < n - ROW + 1 - ROW * slack:
+            return
+        if all(abs(at - x) > slack // 2 for x in tried):
+            tried.append(at)
+            yield max(0, at - slack), min(len(words), at + n + 2 * slack)
+
+
+def sentences(block: str, own: list[tuple[str, int, int]]) -> str:
+    """The words with a space around each, and a full stop as a word of its own where a sentence or paragraph ends."""
+    after = [x[1] for x in own[1:]]
+    return " " + "".join(f"{w} . " if STOP.search(block[e:x]) else f"{w} " for (w, _, e), x in zip(own, [*after, len(block)], strict=True))
+
+
+def confirmed(own: list[tuple[str, int, int]], told: str, kind: str, wordings: list[list[str]]) -> tuple[int, int, int] | None:
     """(first word, word after the last, words that differ) of the wording that fits best, if one fits."""
     words, best = [w for w, _, _ in own], None
+    if kind == "notice":
+        for wording in wordings:
+            at = told.find(f" {' '.join(wording)} ")
+            if at >= 0 and (best is None or len(wording) > best[1] - best[0]):
+                k = told.count(" ", 0, at) - told.count(" . ", 0, at + 1)
+                best = (k, k + len(wording), 0)
+        return best
     for wording in wordings:
-        if kind == "notice":
-            for k in range(len(words) - len(wording) + 1):
-                if words[k : k + len(wording)] == wording and (best is None or len(wording) > best[1] - best[0]):
-                    best = (k, k + len(wording), 0)
-        else:
-            same = [m for m in SequenceMatcher(None, words, wording, autojunk=False).get_matching_blocks() if m.size]
-            if same:
-                a, b = same[0].a, same[-1].a + same[-1].size
-                matched = sum(m.size for m in same)
-                different = max(len(wording), b - a) - matched
-                if different <= MOST_DIFFERENT * len(wording) and (best is None or different < best[2]):
-                    best = (a, b, different)
+        for low, high in places(words, wording):
+            same = [m for m in SequenceMatcher(None, words[low:high], wording, autojunk=False).get_matching_blocks() if m.size]
+            for i in range(len(same)):
+                matched = 0
+                for last in same[i:]:  # words met by chance before and after the wording don't belong to it
+                    matched += last.size
+                    a, b = low + same[i].a, low + last.a + last.size
+                    different = max(len(wording), b - a) - matched
+                    if different <= MOST_DIFFERENT * len(wording) and (best is None or different < best[2]):
+                        best = (a, b, different)
+            if best:
+                break
     return best
 
 
-def find_in(text: str, a: int, b: int) -> Iterator[tuple[int, int, str, str, float, int]]:
-    """The licences in text[a:b]: the template that saves most and is confirmed, then what lies before and after it."""
+def find_in(text: str) -> Iterator[tuple[int, int, str, str, float, int]]:
+    """The licences in a text: in each block the template that saves most and is confirmed, then what lies before and
+    after it."""
     plain, known = templates()
-    block = text[a:b]
-    raw, own = block.encode("utf-8", "surrogatepass"), words_of(block)
-    if not re.search(ANCHOR, block):
-        return
-    alone = len(plain.compress(raw))
-    for saved, name, kind, wordings in sorted(((1 - len(c.compress(raw)) / alone, n, k, w) for n, k, w, c in known), key=lambda x: (-x[0], x[1], x[2])):
-        if hit := confirmed(own, kind, wordings):
-            start, end = a + own[hit[0]][1], a + own[hit[1] - 1][2]
-            yield start, end, name, kind, round(saved, 6), hit[2]
-            yield from find_in(text, a, start)
-            yield from find_in(text, end, b)
-            return
+    left = blocks(text, 0, len(text))
+    while left:
+        a, b = left.pop()
+        raw, own = text[a:b].encode("utf-8", "surrogatepass"), words_of(text[a:b])
+        alone, told = len(plain.compress(raw)), sentences(text[a:b], own)
+        for saved, name, kind, wordings in sorted(((1 - len(c.compress(raw)) / alone, n, k, w) for n, k, w, c in known), key=lambda x: (-x[0], x[1], x[2])):
+            if hit := confirmed(own, told, kind, wordings):
+                start, end = a + own[hit[0]][1], a + own[hit[1] - 1][2]
+                yield start, end, name, kind, round(saved, 6), hit[2]
+                left += blocks(text, a, start) + blocks(text, end, b)
+                break
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str, float, int]]:
     """(start, end, licence, kind, part of the size saved, words that differ) of each licence, in code points."""
-    found = {x for a, b in blocks(text) for x in find_in(text, a, b)} if text else set()
-    return sorted(found)
+    return sorted(find_in(text)) if text else []
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

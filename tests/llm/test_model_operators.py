@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -208,6 +209,22 @@ def test_licences_in_texts():
     assert {x[2] for x in licenses.find(long)} == {"MIT"}
 
 
+@pytest.mark.parametrize("width", [None, 40, 72])
+@pytest.mark.parametrize("name", sorted(licenses.FULL))
+def test_whole_licences_are_found(name, width):
+    told = licenses.FULL[name] if width is None else "\n".join(f" * {x}" for x in textwrap.wrap(licenses.FULL[name], width, break_on_hyphens=False, break_long_words=False))
+    other = "The cat of the house went to any lake or forest, and this is for the dog. " * 20
+    for before, after in (("", ""), (other, "\n" + other)):
+        [(start, end, found, kind, _, different)] = licenses.find(before + told + after)
+        assert (found, kind, different) == (name, "full", 0)
+        assert start == len(before) + told.index(told.strip(" *")[:8]) and end >= len(before) + len(told) - 2
+
+
+def test_notices_stay_in_their_sentence():
+    [found] = licenses.find("So it is.\nReleased under\nthe MIT License.")
+    assert found[:4] == (10, 40, "MIT", "notice")
+
+
 def test_licences_of_documents(given):
     df, docs = given
     got = Counter((r["doc_id"], tuple(x["license"] for x in r["licenses"])) for r in rows(licenses.scan(df)))
