@@ -38,9 +38,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as much of them, as the mix takes."""
+    """Documents as often, and as much of them, as the mix takes, in the order in which it comes to them first."""
     mixed = mixing.mix(docs, carry=tuple(docs.columns))
-    taken = mixed.select("carried", F.col("size"), F.explode("passes").alias("n")).where("n > 0")
+    taken = mixed.select("carried", "size", "source_key", "pieces", F.posexplode("passes").alias("pass", "n")).where("n > 0")
+    first = F.element_at(F.filter("pieces", lambda x: x["pass"] == F.col("pass")), 1)
+    taken = taken.withColumn("first", first).drop("pieces").orderBy("first.slot", "source_key", "first.rank", "first.place")
     row, cut = F.col("carried"), F.col("n") < F.col("size")
     text = F.when(cut, mixing.first_words(row["text"], F.col("n"))).otherwise(row["text"])
     new = {"text": text, "n_chars": F.when(cut, F.length(text)).otherwise(row["n_chars"]).cast("long")}

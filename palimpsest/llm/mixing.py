@@ -3,7 +3,9 @@
 Every source is a stream: its documents, shuffled by a seeded hash, laid end to end, and cut into blocks of equally many
 words. The van der Corput sequence deals slots to sources: slot i belongs to the source whose share of [0, 1) holds the
 bit-reversed i. The r-th slot of a source takes the r-th block of its stream, and the stream starts again at its end; so
-any stretch of the schedule holds the sources close to their weights, and the mix is the same on every run.
+any stretch of the schedule holds the sources close to their weights, and the mix is the same on every run. Blocks are
+joined to slots by source and rank; what a document has in them are its pieces, and what is taken of it is their sum.
+The mix in order is all pieces by slot, source, rank and place in the block.
 
 Nulls and odd cases: a null text has no words and is never taken; a null source is a source of its own, the last in
 order; repeated rows are documents of their own; an empty table gives an empty mix. No extra column of the input is
@@ -96,8 +98,9 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken, and the words taken in each pass over the source's
-    stream (`passes`, the document's first words each time); the carried columns, as struct `carried`.
+    """A row per document: doc_id, size, source_size, target, taken; its pieces, an array of (slot, rank, place in the
+    block, pass over the source's stream, first word, words) in the stream's order; the words taken in each pass
+    (`passes`, the document's first words each time); source_key, and the carried columns, as struct `carried`.
     """
     spark = session_of(docs)
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
@@ -109,17 +112,33 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", hash_bucket(F.col("h"), bits))
     narrow = staged(sized.select("source_key", "source", "size", "bucket").groupBy("source_key", "bucket").agg(F.max("source").alias("source"), F.sum("size").alias("size")), "mix-buckets")
     targets = staged(source_targets(narrow, weights, share, cap), "mix-targets")
-    covered = schedule(targets, block_words).groupBy("source_key").agg(F.sum("words").alias("covered"))
+    slots = schedule(targets, block_words)
     start = F.sum("size").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = narrow.select("source_key", "bucket", F.coalesce(start, F.lit(0)).alias("start"))
-    facts = targets.select("source_key", "source_size", "target").join(covered, "source_key", "left")
-    starts = staged(starts.join(facts, "source_key").withColumn("covered", F.coalesce("covered", F.lit(0))), "mix-starts")
+    starts = narrow.select("source_key", "bucket", F.col("size").alias("wide"), F.coalesce(start, F.lit(0)).alias("start"))
+    starts = staged(starts.join(targets.select("source_key", "source_size", "target"), "source_key"), "mix-starts")
+    # the blocks of the stream that a bucket has words in, each with its slot
+    again = starts.where("wide > 0").select("source_key", "bucket", "wide", F.explode(F.array(*[F.struct(F.lit(n).alias("pass"), (F.col("start") + n * F.col("source_size")).alias("low")) for n in range(cap)])).alias("x"), "target")
+    again = again.select("source_key", "bucket", F.col("x.pass").alias("pass"), F.col("x.low").alias("low"), (F.col("x.low") + F.col("wide")).alias("high"), "target").where("low < target + 1")
+    ranks = F.sequence(F.floor(F.col("low") / block_words), F.floor((F.col("high") - 1) / block_words))
+    blocks = again.select("source_key", "bucket", "pass", F.explode(ranks).alias("rank")).join(slots, ["source_key", "rank"])
+    dealt = blocks.groupBy("source_key", "bucket").agg(F.sort_array(F.collect_list(F.struct("rank", "pass", "slot", "words"))).alias("dealt"))
+    starts = staged(starts.join(dealt, ["source_key", "bucket"], "left").drop("wide"), "mix-dealt")
     within = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.join(starts, ["source_key", "bucket"]).withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    part = lambda n: F.greatest(F.lit(0), F.least(F.col("size"), F.col("covered") - n * F.col("source_size") - F.col("start"))).cast("long")
-    placed = placed.withColumn("passes", F.array(*[part(n) for n in range(cap)]))
-    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x)
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "passes", "carried")
+    placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts.hint("merge"), ["source_key", "bucket"])
+    placed = placed.withColumn("start", F.col("start") + F.col("before"))
+
+    def piece(x: Column) -> Column:
+        own, block = F.col("start") + x["pass"] * F.col("source_size"), x["rank"] * block_words
+        low = F.greatest(own, block)
+        words = F.least(own + F.col("size"), block + x["words"]) - low
+        return F.struct(x["slot"].alias("slot"), x["rank"].alias("rank"), (low - block).alias("place"), x["pass"].alias("pass"), (low - own).alias("first"), words.alias("words"))
+
+    some = F.filter(F.transform(F.coalesce("dealt", F.array()), piece), lambda x: x["words"] > 0)
+    placed = placed.withColumn("pieces", some)
+    total = lambda pieces: F.aggregate(pieces, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    within_pass = lambda n: F.filter("pieces", lambda x: x["pass"] == n)
+    passes = F.array(*[total(within_pass(n)) for n in range(cap)])
+    return placed.select("doc_id", "size", "source_size", "target", total(F.col("pieces")).alias("taken"), "pieces", passes.alias("passes"), "source_key", "carried")
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -58,7 +58,8 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    told = F.transform("pieces", lambda x: F.concat_ws(":", x["slot"], x["rank"], x["place"], x["first"], x["words"]))
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.array_join(told, ",").alias("pieces"))
 
 
 def queries() -> dict:

@@ -233,6 +233,42 @@ def test_schedule_keeps_weights_in_every_stretch(spark):
     assert [r["rank"] for r in slots if r["source_key"] == "=a"] == list(range(90))
 
 
+def test_mix_follows_the_schedule(given):
+    """Every slot of the schedule holds one block of its source, gapless and in the stream's order."""
+    df, docs = given
+    words = {d: len(WORD.findall(t or "")) for d, t, _ in docs}
+    got = rows(mixing.mix(df, block_words=64))
+    held = defaultdict(list)
+    for r in got:
+        assert r["taken"] == sum(p["words"] for p in r["pieces"]) == sum(r["passes"])
+        for n, whole in enumerate(r["passes"]):  # first words of the document, in each pass
+            at = 0
+            for p in r["pieces"]:
+                if p["pass"] == n:
+                    assert p["first"] == at
+                    at += p["words"]
+            assert at == whole <= words[r["doc_id"]]
+        for p in r["pieces"]:
+            held[r["source_key"], p["rank"], p["slot"]].append((p["place"], p["words"]))
+    last, sources = {}, Counter()
+    for key, rank, _ in held:
+        last[key] = max(rank, last.get(key, 0))
+        sources[key] += 1
+    assert all(sources[k] == last[k] + 1 for k in last)
+    for (key, rank, _), found in held.items():
+        at = 0
+        for place, n in sorted(found):
+            assert place == at
+            at += n
+        assert at == 64 or rank == last[key]
+    slots = sorted((slot, key, rank) for key, rank, slot in held)
+    for key in last:
+        assert [rank for _, k, rank in slots if k == key] == list(range(last[key] + 1))
+    shares, half = {k: n / len(slots) for k, n in sources.items()}, slots[: len(slots) // 2]
+    for key, share in shares.items():
+        assert abs(sum(k == key for _, k, _ in half) - share * len(half)) <= 8
+
+
 def test_first_words(spark):
     from pyspark.sql import functions as F
 
