@@ -611,7 +611,7 @@ def payload_of(facts: dict, c: np.ndarray) -> bytes:
 
 def padded(text: str | None) -> bytes:
     raw = (text or "").encode("utf-8", "surrogatepass")
-    return raw + bytes(64 - len(raw) % 64)
+    return raw + bytes(-len(raw) % 64 if raw else 64)
 
 
 def feature(rgb: np.ndarray) -> str:

@@ -139,6 +139,11 @@ def test_language_depends_on_the_text_alone(odd):
         assert score[0] == pytest.approx(whole[1][k], abs=1e-5)
 
 
+@pytest.mark.parametrize("n,whole", [(0, 64), (1, 64), (63, 64), (64, 64), (65, 128), (128, 128), (129, 192)])
+def test_payloads_are_padded_to_a_multiple_of_64(n, whole):
+    assert media.padded("x" * n) == b"x" * n + b"\0" * (whole - n)
+
+
 # -- HTML
 
 
