@@ -276,13 +276,43 @@ def test_topk_of_odd_rows(spark):
 
 
 def test_threshold_stops_early_and_right():
+    """Components of few large values: queries are final after part of the lists, and a known floor ends them sooner."""
     rng = np.random.default_rng(2)
     vectors = np.floor(64 * rng.standard_normal((4000, 3)) ** 3).astype(np.int64)
     lists = topk.Lists(np.arange(4000), vectors)
-    queries_ = vectors[:50]
-    for q, found, scores in lists.search(np.arange(50), queries_, 20, depths=(8, 32, 128)):
-        every = vectors @ queries_[q]
-        every[q] = -(10**9)
+    read, sooner = 0, 0
+    for q, found, scores, entries, scored in lists.search(np.arange(50), vectors[:50], 20):
+        every = vectors @ vectors[q]
+        every[q] = -(10**18)
         best = np.lexsort((np.arange(4000), -every))[:20]
         assert lists.ids[found].tolist() == best.tolist()
         assert scores.tolist() == every[best].tolist()
+        read += scored
+        [(_, rows_, _, fewer, _)] = lists.search(np.array([q]), vectors[q : q + 1], 20, np.array([scores[0]]))
+        assert fewer <= entries and (not len(rows_) or rows_[0] == found[0])
+        sooner += fewer < entries
+    assert read < 50 * 4000 / 4 and sooner
+
+
+def test_threshold_reads_on_to_the_ends():
+    """Scores below zero, fewer vectors than k, and components of zero."""
+    vectors = np.array([[0, 0], [-5, 0], [-1, -1], [0, -7]])
+    lists = topk.Lists(np.array([4, 3, 2, 1]), vectors)
+    for q, found, scores, _, scored in lists.search(np.array([9, 9, 9]), np.array([[1, 1], [0, 0], [0, -2]]), 3):
+        every = vectors @ [[1, 1], [0, 0], [0, -2]][q]
+        best = sorted(zip(-every, [4, 3, 2, 1], strict=True))[:3]
+        assert list(zip(scores, lists.ids[found], strict=True)) == [(-s, i) for s, i in best]
+
+
+def test_topk_of_huge_components(spark):
+    big = float(1 << 50)
+    given = [(0, [1.0, 0.0]), (20, [1.0, 1.0]), (3, [big, 1.0]), (4, [-big, 1.0]), (5, [1e300, 0.5]), (60, [1e308, -1e308]), (6, [3.0, 2.0])]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    least, most = -(1 << 63), (1 << 63) - 1
+    whole = {i: [math.floor(64 * v) if abs(v) < 1e300 else 64 * int(v) for v in e] for i, e in given}
+    want = Counter()
+    for q in (0, 20, 60):
+        scores = sorted((-min(most, max(least, sum(x * y for x, y in zip(whole[q], whole[i], strict=True)))), i) for i in whole if i != q)
+        want.update((q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1))
+    assert Counter(tuple(r.values()) for r in rows(topk.search(df, df.where("vec_id % 20 = 0")))) == want
+    assert Counter(tuple(r.values()) for r in rows(topk.search(df, df.where("vec_id % 20 = 0"), vectors_at_once=2))) == want
