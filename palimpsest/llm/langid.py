@@ -24,13 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import give_back
+from palimpsest.llm.common import give_back, staged
 
 DIMENSIONS = 2048
 CENTROIDS = 4
 #: Labelled rows of each language that the model is fitted on, on average at most.
 PER_LANGUAGE = 1200
 ROUNDS = 12
+#: With more different labels than this, their counts are joined by a shuffle instead of a broadcast.
+LABELS_AT_ONCE = 50_000
 #: A text is rejected if its cosine is below this part of the lowest that any fitted text of the language has.
 MARGIN = 0.4
 UNDETERMINED = "und"
@@ -140,25 +142,24 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on labelled rows that are not held out. The driver gets about `per_language` rows of counts a language."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(doc_id)), F.lit(False)))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang)).count().collect()}
-    if not sizes:
+    sizes = staged(labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_rows")), "language-labels")
+    if not (labels := sizes.count()):
         return fit([], np.zeros((0, DIMENSIONS)))
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, per_language / n))).otherwise(share)
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_rows"))
+    counted = labelled.join(F.broadcast(sizes) if labels <= LABELS_AT_ONCE else sizes, F.col(lang) == F.col("_lang"))
     drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(drawn < share).select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
+    sample = counted.where(drawn < share).select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
                 counts, has = gram_counts(part["text"].to_pylist())
-                packed = [np.minimum(c, 65535).astype("<u2").tobytes() if h else b"" for c, h in zip(counts, has, strict=True)]
+                packed = [c.astype("<f4").tobytes() if h else b"" for c, h in zip(counts, has, strict=True)]
                 yield pa.RecordBatch.from_arrays([part["lang"], part["key"], pa.array(packed, pa.binary())], names=["lang", "key", "counts"])
 
     rows = sorted((r["lang"], r["key"], bytes(r["counts"])) for r in sample.mapInArrow(work, "lang string, key long, counts binary").collect() if r["counts"])
-    counts = np.stack([np.frombuffer(c, dtype="<u2") for _, _, c in rows]).astype(np.float32) if rows else np.zeros((0, DIMENSIONS), dtype=np.float32)
+    counts = np.stack([np.frombuffer(c, dtype="<f4") for _, _, c in rows]).astype(np.float32) if rows else np.zeros((0, DIMENSIONS), dtype=np.float32)
     return fit([name for name, _, _ in rows], counts)
 
 
