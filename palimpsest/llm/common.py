@@ -18,9 +18,12 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local session (tests) gets a
+    new temporary one; on a cluster that is an error, for no executor could read what another one wrote."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
