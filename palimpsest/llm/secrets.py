@@ -46,11 +46,17 @@ ADDED = (
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 20),
 )
 RULES = (*BASE, *ADDED)
+#: Matches whose places are told at a time, and characters redacted at a time: bounds what is copied at each step.
+STEPS = 256
+PIECE = 4096
 SPAN = "struct<start:int,place:int,end:int,kind:string>"
 
 
 def spans(text: Column, rule: Rule, place: int) -> Column:
-    """The rule's spans in the text, as array of (start, place, end, kind), leftmost first."""
+    """The rule's spans in the text, as array of (start, place, end, kind), leftmost first.
+
+    Lists that grow step by step are copied at each; so matches are taken STEPS at a time, and their places moved after.
+    """
     part = lambda m: F.regexp_extract(m, rf"^(?:{rule.pattern})$", rule.group) if rule.group else m
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     pieces = F.zip_with(F.split(text, rule.pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
@@ -63,7 +69,19 @@ def spans(text: Column, rule: Rule, place: int) -> Column:
         keep = x["m"].isNotNull() & (F.length(part(x["m"])) >= rule.least)
         return F.struct(end.alias("at"), F.when(keep, F.concat(done["spans"], F.array(own))).otherwise(done["spans"]).alias("spans"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(pieces, empty, step, lambda done: done["spans"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def by_steps(all_pieces: Column) -> Column:
+        last = F.floor((F.size(all_pieces) - 1) / STEPS).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(all_pieces, k * STEPS + 1, STEPS), empty, step))
+
+    def moved(steps: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(steps, none, lambda done, x: F.struct((done["at"] + x["at"]).alias("at"), F.concat(done["starts"], F.array(done["at"])).alias("starts")), lambda done: done["starts"])
+        move = lambda s, by: F.struct((s["start"] + by).alias("start"), s["place"].alias("place"), (s["end"] + by).alias("end"), s["kind"].alias("kind"))
+        return F.flatten(F.zip_with(steps, starts, lambda x, by: F.transform(x["spans"], lambda s: move(s, by))))
+
+    # transform() over a list of one binds what it holds, so that it is computed once
+    steps = F.transform(F.array(pieces), by_steps)
+    return F.when(text.rlike(rule.pattern), F.transform(steps, moved)[0]).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules=RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -104,12 +122,19 @@ def told(spans_column: str) -> Column:
 
 
 def redacted(text: Column, spans_column: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    """The text with each stretch that spans cover replaced by the mark. Long texts are taken a piece at a time."""
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def marked(piece: Column, k: Column) -> Column:
+        low, high = k * PIECE, (k + 1) * PIECE
+        own = F.filter(spans_column, lambda s: (s["start"] < high) & (s["end"] > low))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+
+        def step(done: Column, s: Column) -> Column:
+            new = F.concat(done["text"], F.substring(piece, done["at"] + 1, s["start"] - low - done["at"]), F.lit(mark))
+            return F.struct(F.greatest(done["at"], s["end"] - low).alias("at"), F.when(s["start"] - low >= done["at"], new).otherwise(done["text"]).alias("text"))
 
-    def step(done: Column, s: Column) -> Column:
-        new = F.concat(done["text"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mark))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], new).otherwise(done["text"]).alias("text"))
+        rest = lambda done: F.concat(done["text"], F.substring(piece, done["at"] + 1, F.lit(PIECE)))
+        return F.when(F.size(own) == 0, piece).otherwise(F.aggregate(own, start, step, rest))
 
-    rest = lambda done: F.concat(done["text"], F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans_column) == 0, text).otherwise(F.aggregate(spans_column, start, step, rest))
+    return F.when(F.size(spans_column) == 0, text).otherwise(F.array_join(F.transform(whole, marked), ""))
