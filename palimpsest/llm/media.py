@@ -15,7 +15,8 @@ symbols.
 The reader takes progressive files with three components (2x2, 1x1, 1x1), 8 bits, whole MCUs, any Huffman
 tables, bands, bit positions, end-of-band runs and restart intervals; anything else raises ValueError.
 
-Nulls and odd cases: a null or empty text is 64 bytes 0; equal texts give equal files; repeated rows are kept; an empty
+Nulls and odd cases: a null or empty text is 64 bytes 0; a text beyond 6.4 GB, more than a column's value may hold,
+would raise ValueError; equal texts give equal files; repeated rows are kept; an empty
 table gives no rows; other columns of the input are not read.
 """
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 
 RESTART = 8
 MCUS_A_ROW = 256
+#: A side's pixels are told in two bytes.
+MOST_MCUS = 4095
 BYTES_AT_ONCE = 1_500_000
 PARTS = 3
 #: (component or None for all, first and last coefficient, bit position before, and after), in file order.
@@ -109,9 +112,11 @@ def lookup(counts: bytes, symbols: bytes) -> np.ndarray:
 
 
 def shape_of(blocks: int) -> tuple[int, int]:
-    """MCUs across and down for so many blocks of payload."""
+    """MCUs across and down for so many blocks of payload: rows widen where there would be more than a file may tell."""
     mcus = max(1, -(-blocks // 6))
-    across = min(mcus, MCUS_A_ROW)
+    across = max(min(mcus, MCUS_A_ROW), -(-mcus // MOST_MCUS))
+    if across > MOST_MCUS:
+        raise ValueError(f"a picture holds at most {MOST_MCUS * MOST_MCUS * 6 * 64} bytes")
     return across, -(-mcus // across)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import cache
 
@@ -19,6 +20,10 @@ CHARS_AT_ONCE = 4_000_000
 PLAIN = re.compile("[!-~ß-öø-ÿÀ-ÖØ-Þ]*")
 WORDS = re.compile("(?i:'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿÀ-ÖØ-Þ]+)|[0-9]|[^a-zA-Zß-öø-ÿÀ-ÖØ-Þ0-9]+")
 SPECIAL = "<|"
+#: Fixed values of the same file: its normaliser and pre-tokenizer, for which the short cut below is right.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,7 +44,7 @@ class WordTokenizer:
 
     A part seen before costs a look-up. New plain parts are cut into words here and given to the file's own merge model in
     bulk; parts with any other character go through the whole tokenizer. `encode` of the whole text is the definition,
-    and tests hold this against it.
+    and tests hold this against it. A file that cuts text in any other way is not taken apart: it encodes whole texts.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_PARTS):
@@ -47,6 +52,8 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
+        told = json.loads(self.whole.to_str())
+        self.apart = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [CUT, BYTES]} and told["model"].get("end_of_word_suffix") == "</w>"
         self.words = Tokenizer(self.whole.model)
         self.words.pre_tokenizer = WhitespaceSplit()
         self.letters, self.most = byte_letters(), remembered
@@ -79,6 +86,10 @@ class WordTokenizer:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (nulls as empty), each text's followed by id 0, and where each text's ids start and end."""
+        if not self.apart:
+            coded = self.whole.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            each = [np.array([*c.ids, 0], dtype="<u4") for c in coded]
+            return np.concatenate(each) if each else np.zeros(0, dtype="<u4"), np.cumsum([0, *map(len, each)])
         texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
         if not pc.any(pc.match_substring(texts, SPECIAL)).as_py():  # what follows changes no id, and fewer parts are new
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([.,]) ", "\\1 \\2 ")

@@ -53,6 +53,19 @@ def test_packing_is_whole_gapless_and_near_the_bound(given):
     assert len(sequences) <= 1.02 * total / 2048 + 2
 
 
+def test_other_tokenizer_files_encode_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from palimpsest.llm.tokens import word_tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    whole, texts = Tokenizer.from_file(path), ["A b,  c.\nD", None, "", "Éa 12 <|endoftext|> x"]
+    ids, ends = word_tokenizer(path).ids(pa.array(texts, pa.string()))
+    for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+        assert ids[a:b].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+
+
 def test_ids_of_odd_texts():
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -141,6 +154,21 @@ def test_redaction_covers_overlaps(spark):
     assert df.select(secrets.redacted(F.col("text"), F.col("spans"))).first()[0] == "ab [SECRET] z"
 
 
+def test_very_many_hits_in_one_text(spark):
+    """More hits than one step's list holds, and spans across the pieces that a long text is redacted in."""
+    hits = [f"é token=secret{k:06d}abcdef" for k in range(20000)]
+    text = " ".join(hits)
+    df = spark.createDataFrame([(1, text, 5), (2, "x" * 4090 + " token=abcdefghijklmnop " + "y" * 5000, 6)], "doc_id long, text string, at int")
+    paths, _ = secrets.scan(df)
+    got = {r["path"]: r["spans"] for r in paths.collect()}
+    assert [(x["start"], x["end"], x["kind"]) for x in got[1] if x["kind"] == "assign"] == [(m.start(), m.end(), "assign") for m in re.finditer(r"token=\w+", text)]
+    from pyspark.sql import functions as F
+
+    told = {r[0]: r[1] for r in df.join(paths.select("path", "spans"), F.col("doc_id") == F.col("path")).select("doc_id", secrets.redacted(F.col("text"), F.col("spans"))).collect()}
+    assert told[1] == " ".join("é [SECRET]" for _ in hits)
+    assert told[2] == "x" * 4090 + " [SECRET] " + "y" * 5000
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -172,10 +200,50 @@ def test_simhash_components(given):
     got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows(simhash.near_duplicates(df)))
     assert got == Counter((d, f"{f:016x}", least.get(root(f))) for d, f in fps)
     kept = rows(simhash.keep_one(df))
-    assert Counter(r["doc_id"] for r in kept) == Counter(set(least.values()))
+    assert Counter(r["doc_id"] for r in kept) == Counter(least.get(f) for f in {root(f) for _, f in fps})
     assert not kept or set(kept[0]) == set(df.columns)
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    words = [" ".join(f"{w}{k}" for k in range(40)) for w in "abc"]
+    given = [(1, words[0], 5), (1, words[1], 6), (None, words[2], 7), (None, words[2], 7), (3, words[0], 8)]
+    df = spark.createDataFrame(given, "doc_id long, text string, _row int")
+    assert sorted(map(str, rows(simhash.keep_one(df)))) == sorted(str(dict(zip(df.columns, g, strict=True))) for g in given[:3])
+
+
+def test_components_of_a_long_chain(spark):
+    """Labels reach over a chain in a number of rounds that grows with its length's logarithm."""
+    n = 200
+    edges = spark.range(n - 1).selectExpr("id * 79 % 211 AS a", "(id + 1) * 79 % 211 AS b")
+    got = rows(simhash.components(edges))
+    assert len(got) == n and len({r["root"] for r in got}) == 1
+
+
+def test_crowded_cells_keep_their_links():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 18, 300).astype(np.uint64) << np.uint64(23)
+    flips = [np.bitwise_or.reduce(np.left_shift(np.uint64(1), rng.integers(0, 64, (k, 300)).astype(np.uint64))) for k in (1, 2, 4)]
+    own = np.unique(np.concatenate([base, *[base ^ f for f in flips]])).view(np.int64)
+
+    def classes(edges):
+        parent = {f: f for f in own.tolist()}
+        for a, b in edges:
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+        out = {}
+        for f in own.tolist():
+            r = f
+            while parent[r] != r:
+                r = parent[r]
+            out[f] = r
+        return out
+
+    assert classes(simhash.cell_trees(own, crowded=64)) == classes(simhash.cell_trees(own, crowded=len(own)))
+
+
 def test_cells_meet_whatever_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 200).astype(np.uint64)
