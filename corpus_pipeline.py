@@ -1,8 +1,9 @@
 """From raw documents to packed sequences: language, near duplicates, secrets, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row that the stage before it kept, and returns a DataFrame; all
-but the last return the columns of documents. Rows without words are rejected by the first stage; rows without an id by
-the second. A document that the mix takes twice is two rows from then on; one that it takes in part holds its first words.
+but the last return the columns of documents. Rows without a letter are rejected by the first stage; of rows with one id
+and text, the second keeps one; rows without an id are documents like any other. A document that the mix takes twice is
+two rows from then on; one that it takes in part holds its first words. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every secret's characters are replaced by a mark; documents without one stay as they are."""
     paths, _ = secrets.scan(docs)
     found = paths.where(F.size("spans") > 0).select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct()
-    same = (docs["doc_id"] == F.col("_path")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_blob"))
+    same = docs["doc_id"].eqNullSafe(F.col("_path")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_blob"))
     joined = docs.join(found.hint("shuffle_hash"), same, "left")
     marked = secrets.redacted(F.col("text"), F.col("_spans"))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(marked)
