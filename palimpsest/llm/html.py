@@ -1,12 +1,17 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree. Elements that can't be the article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments, hidden parts) are cut out by their names, roles and class words. Every node that
-is left has a density: its characters per tag, adjusted by how much of both are links. A node's density sum is that of
-its children's densities. The node with the greatest sum is the core; the least density on the path from it to the body
-is the threshold. Going down from the body, each node that reaches the threshold gives the subtree of greatest sum in it;
-if that lies in an article element, the article is taken whole, and if it holds articles, those are taken; elsewhere,
-blocks in it that are nothing but links are left out.
+A page is read into a tree. Elements that can't be content by what they are (menus, headers, footers, sidebars, forms,
+scripts, styles, hidden parts) are cut out by name and role; containers whose class or id says outright that they hold
+adverts, notices, comments and the like are too, but never headings, paragraphs or a container with most of the text.
+Every node left has a density: its characters per tag, adjusted by how much of both are links. A node's density sum is
+that of its children's densities. The node with the greatest sum is the core; the least density on the path from it to
+the body is the threshold. Going down from the body, each node that reaches the threshold gives the subtree of greatest
+sum in it, and its other children are looked at alike.
+
+What belongs to a subtree chosen is told from its surroundings. Beside a chosen block that is text itself (a paragraph, a
+list, a table), the text blocks next to it join; beside a chosen container, the headings before it, and containers of its
+own kind with paragraphs that reach half of the threshold. At the two ends of a chosen container, containers below the
+threshold and blocks that are nothing but links go; between text they stay.
 
 Text is decoded, white space in a block made one space, and blocks joined by one space in page order.
 
@@ -31,14 +36,20 @@ RAW = set("script style title textarea noscript iframe xmp noembed noframes temp
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 CUT_NAMES = set("nav header footer aside form script style noscript template iframe button select input option textarea svg canvas object embed head title menu dialog link meta map audio video".split())
 CUT_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words in a class or id that tell what an element is for.
+#: Class names and ids that tell what a container is for, if they are the whole name.
 CUT_WORDS = set(
     "ad ads adv advert adverts advertisement advertisements adsense adslot sponsor sponsored sponsors promo promotion promoted banner sidebar sidebars aside "
     "comment comments commentlist disqus respond reply replies nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login paywall "
     "share sharing social related recommended recommendations widget widgets toolbar pagination pager skip search form".split()
 )
-ARTICLE = {"article", "main"}
+#: Those that also tell it as the first or last part of a class name.
+CUT_PARTS = set("ad ads advert adverts advertisement sponsor sponsored promo sidebar comment comments nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent newsletter subscribe share sharing social related recommended".split())
+#: Elements that hold blocks and are no text block themselves.
+CONTAINERS = set("div section article main center body span td".split()) | {"#root"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that a class or id never cuts.
+NEVER_CUT = HEADINGS | INLINE | set("html body p pre blockquote li dt dd td th tr tbody".split())
 #: What a start tag closes if it is open.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"},
@@ -47,23 +58,37 @@ CLOSES = {
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Share of the threshold that containers beside a chosen one of their kind must reach.
+BESIDE = 0.5
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def told_by_class(name: str, found: dict[str, str]) -> bool:
+    """Whether class or id of an element say outright that it isn't content."""
+    if name in NEVER_CUT:
+        return False
+    whole = {t.lower() for key in ("class", "id") for t in found.get(key, "").split()}
+    if whole & CUT_WORDS:
+        return True
+    parts = [[w.lower() for w in PART.findall(t)] for t in found.get("class", "").split()]
+    return any(len(p) > 1 and (p[0] in CUT_PARTS or p[-1] in CUT_PARTS) and p[0] not in ("has", "no", "with", "without") for p in parts)
+
+
 class Page:
-    """Nodes in page order: name, parent, whether cut by name or by word; and pieces of text with node and block."""
+    """Nodes in page order: name, parent, class, whether cut by what it is or by class; and text with node and block."""
 
     def __init__(self, page: str):
-        self.names, self.parents, self.cut, self.worded = ["#root"], [-1], [False], [False]
+        self.names, self.parents, self.classes, self.cut, self.worded = ["#root"], [-1], [""], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []
         self.last: list[int] = [0]  # the last node of each subtree
+        self.held: dict[str, int] = {"#root": 1}  # how many open elements have each name
         self.open, self.block, at = [0], 0, 0
         stop = page.rfind(">") + 1
         while m := TOKEN.search(page, at, stop):
             self.text(page[at : m.start()])
             at = m.end()
-            if m[0].startswith("<!--") and not m[0].endswith(">"):
+            if m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
                 at = len(page)
             if m[1]:
                 self.end(m[1].lower())
@@ -84,22 +109,27 @@ class Page:
     def pop(self) -> None:
         node = self.open.pop()
         self.last[node] = len(self.names) - 1
+        self.held[self.names[node]] -= 1
         if self.names[node] not in INLINE:
             self.block += 1
 
-    def close(self, which: set[str], until: set[str]) -> None:
-        """Close the innermost open element of these names, and all in it, unless one of `until` is in between."""
+    def close(self, which: set[str], until: set[str] | None) -> None:
+        """Close the innermost open element of these names, and all in it, unless one of `until` (None: any but inline
+        ones) is in between."""
+        if not any(self.held.get(name) for name in which):
+            return
         for k in range(len(self.open) - 1, 0, -1):
-            if self.names[self.open[k]] in which:
+            name = self.names[self.open[k]]
+            if name in which:
                 while len(self.open) > k:
                     self.pop()
                 return
-            if self.names[self.open[k]] in until:
+            if name not in INLINE if until is None else name in until:
                 return
 
     def start(self, name: str, attributes: str) -> None:
         if name in ("html", "body", "head"):
-            if name in [self.names[k] for k in self.open]:
+            if self.held.get(name):
                 return
             if name == "body":
                 self.close({"head"}, set())
@@ -110,93 +140,147 @@ class Page:
         if name in CLOSES:
             self.close(CLOSES[name], HOLDS[name])
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes or "")} if attributes and attributes.strip(" /") else {}
-        words = {w.lower() for key in ("class", "id") for w in CLASS_WORD.findall(found.get(key, ""))}
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
         self.names.append(name)
         self.parents.append(self.open[-1])
+        self.classes.append(found.get("class", ""))
         self.cut.append(name in CUT_NAMES or found.get("role", "").lower() in CUT_ROLES or (hidden and name not in ("html", "body")))
-        self.worded.append(bool(words & CUT_WORDS) and name not in ("html", "body"))
+        self.worded.append(told_by_class(name, found))
         self.last.append(len(self.names) - 1)
         if name not in VOID:
             self.open.append(len(self.names) - 1)
+            self.held[name] = self.held.get(name, 0) + 1
 
     def end(self, name: str) -> None:
         if name in INLINE:
-            blocks = {self.names[k] for k in self.open} - INLINE
-            self.close({name}, blocks)
+            self.close({name}, None)
         else:
             if name not in ("html", "body", "br"):
                 self.close({name}, HOLDS.get(name, set()))
             self.block += 1
 
+    def subtree_counts(self, own: list[int]) -> list[int]:
+        """own, each added to all nodes above it."""
+        total = own[:]
+        for k in range(len(own) - 1, 0, -1):
+            total[self.parents[k]] += total[k]
+        return total
+
     def main_text(self) -> str:
         n = len(self.names)
-        articles = [0] * (n + 1)  # running count of article elements that aren't cut
-        for k in range(n):
-            articles[k + 1] = articles[k] + (self.names[k] in ARTICLE and not self.cut[k] and not self.worded[k])
-        gone, link = [False] * n, [False] * n
+        link, cut = [False] * n, [False] * n
         for k in range(1, n):
             p = self.parents[k]
-            cut = self.cut[k] or self.worded[k] and not articles[self.last[k] + 1] - articles[k + 1]
-            gone[k], link[k] = gone[p] or cut, link[p] or self.names[k] == "a"
-        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        kept = [(k, b, html.unescape(t)) for k, b, t in self.pieces if not gone[k]]
-        for k, _, t in kept:
-            c = len("".join(t.split()))
-            chars[k] += c
-            link_chars[k] += c * link[k]
+            cut[k], link[k] = cut[p] or self.cut[k], link[p] or self.names[k] == "a"
+        texts = [(k, b, html.unescape(t)) for k, b, t in self.pieces if not cut[k]]
+        own = [0] * n
+        for k, _, t in texts:
+            own[k] += len("".join(t.split()))
+        every = self.subtree_counts(own)
+        holds = self.subtree_counts([int(self.names[k] in ("article", "main", "h1") and not cut[k]) for k in range(n)])
+        gone = cut
+        for k in range(1, n):  # by class: not what holds most of the text beside what may be the title or the article
+            gone[k] = gone[self.parents[k]] or cut[k] or self.worded[k] and not (holds[k] and 2 * every[k] > every[0])
+        kept = [(k, b, t) for k, b, t in texts if not gone[k]]
+        chars = self.subtree_counts([0 if gone[k] else own[k] for k in range(n)])
+        link_chars = self.subtree_counts([own[k] if link[k] and not gone[k] else 0 for k in range(n)])
+        tags, link_tags = [0] * n, [0] * n
         for k in range(n - 1, 0, -1):
             if not gone[k]:
                 p = self.parents[k]
-                chars[p] += chars[k]
                 tags[p] += tags[k] + 1
-                link_chars[p] += link_chars[k]
                 link_tags[p] += link_tags[k] + (self.names[k] == "a")
         body = next((k for k in range(n) if self.names[k] == "body"), 0)
         if not chars[body]:
             body = 0
         ratio = link_chars[body] / max(1, chars[body])
         density, sums = [0.0] * n, [0.0] * n
+        children: list[list[int]] = [[] for _ in range(n)]
         for k in range(n - 1, -1, -1):
             if chars[k] and not gone[k]:
                 density[k] = composite_density(chars[k], tags[k], link_chars[k], link_tags[k], ratio)
                 if k:
                     sums[self.parents[k]] += density[k]
-        chosen = self.subtrees(body, density, sums, chars, gone)
-        inside = [False] * n
-        for k in chosen:
-            up, article = k, -1
-            while up > 0:
-                if self.names[up] in ARTICLE:
-                    article = up
-                up = self.parents[up]
-            held: list[int] = []
-            if article < 0:
-                held = [j for j in range(k, self.last[k] + 1) if articles[j + 1] > articles[j] and chars[j]]
-            for j in [article] if article >= 0 else held or [k]:
-                inside[j : self.last[j] + 1] = [True] * (self.last[j] + 1 - j)
-            if article < 0 and not held:  # outside of articles, blocks that are all links go
-                for j in range(k + 1, self.last[k] + 1):
-                    if self.names[j] not in INLINE and chars[j] and link_chars[j] == chars[j]:
-                        inside[j : self.last[j] + 1] = [False] * (self.last[j] + 1 - j)
+                    children[self.parents[k]].append(k)
+        for c in children:
+            c.reverse()
+        inside = self.content(body, density, sums, chars, link_chars, children)
         blocks: dict[int, list[str]] = {}
         for k, b, t in kept:
             if inside[k]:
                 blocks.setdefault(b, []).append(t)
         return " ".join(x for b in sorted(blocks) if (x := " ".join("".join(blocks[b]).split())))
 
-    def subtrees(self, body: int, density: list[float], sums: list[float], chars: list[int], gone: list[bool]) -> list[int]:
-        """The content: under each node whose density reaches the threshold, the subtree of greatest density sum; then
-        the same for its children that are not in a subtree taken before."""
+    def content(self, body: int, density: list[float], sums: list[float], chars: list[int], link_chars: list[int], children: list[list[int]]) -> list[bool]:
+        """Which nodes are content: the subtrees chosen by density, with what belongs to them, without weak ends."""
+        n = len(self.names)
+        inside = [False] * n
         if not chars[body]:
-            return []
+            return inside
+        chosen, threshold = self.subtrees(body, density, sums, chars, children)
+        linked = lambda k: self.names[k] not in INLINE and link_chars[k] == chars[k]
+        container = lambda k: self.names[k] in CONTAINERS and self.names[k] not in INLINE
+        paragraphs = lambda k: any(not container(c) and self.names[c] not in INLINE for c in children[k])
+
+        def take(k: int, on: bool = True) -> None:
+            inside[k : self.last[k] + 1] = [on] * (self.last[k] + 1 - k)
+
+        for k in chosen:
+            up = k
+            while up != body and self.names[up] in INLINE:
+                up = self.parents[up]
+            take(up)
+            self.trim(up, density, threshold, children, linked, container, take)
+            if up == body or up == 0:
+                continue
+            beside = children[self.parents[up]]
+            at = beside.index(up)
+            if not container(up):
+                joined = [c for c in beside if not container(c) and not linked(c)]
+                ends = [at, *(beside.index(c) for c in joined)]
+                for c in beside[min(ends) : max(ends) + 1]:  # what stands between the text blocks stays, containers only if they are dense
+                    if not container(c) or density[c] >= threshold:
+                        take(c)
+                inside[self.parents[up]] = True  # text of the parent itself
+            else:
+                for c in beside:
+                    if c != up and self.names[c] == self.names[up] and self.classes[c] == self.classes[up] and paragraphs(c) and not linked(c) and density[c] >= BESIDE * threshold:
+                        take(c)
+            while up != body and up > 0:  # headings before it, at every level
+                beside = children[self.parents[up]]
+                at = beside.index(up)
+                while at and self.names[beside[at - 1]] in HEADINGS:
+                    at -= 1
+                    take(beside[at])
+                up = self.parents[up]
+        return inside
+
+    def trim(self, k: int, density: list[float], threshold: float, children: list[list[int]], linked, container, take) -> None:
+        """Take weak children off both ends of the chosen container k, down through its only children. What is marked as
+        an article is left whole; so are short containers beside dense ones where both stand for paragraphs."""
+        leaf = lambda c: all(self.names[x] in INLINE for x in children[c])
+        while container(k) and self.names[k] not in ("article", "main"):
+            own = children[k]
+            dense_leaf = any(container(c) and leaf(c) and density[c] >= threshold for c in own)
+            weak = [linked(c) or container(c) and density[c] < threshold and not (leaf(c) and dense_leaf) for c in own]
+            if all(weak):
+                return
+            strong = [j for j, w in enumerate(weak) if not w]
+            for c in [*own[: strong[0]], *own[strong[-1] + 1 :]]:
+                take(c, False)
+            if len(own) > 1:
+                return
+            k = own[0]
+
+    def subtrees(self, body: int, density: list[float], sums: list[float], chars: list[int], children: list[list[int]]) -> tuple[list[int], float]:
+        """(nodes, threshold): under each node whose density reaches the threshold, the subtree of greatest density sum;
+        then the same for its children that are not in a subtree taken before."""
         n = len(self.names)
-        below, children = [(-1.0, 0)] * n, [[] for _ in range(n)]  # the greatest sum under each node, the first of equals
+        below = [(-1.0, 0)] * n  # the greatest sum under each node, the first of equals
         for j in range(n - 1, 0, -1):
-            if chars[j] and not gone[j]:
+            if density[j] or chars[j]:
                 p = self.parents[j]
                 below[p] = max(below[p], below[j], (sums[j], -j))
-                children[p].append(j)
 
         def core(k: int) -> int:
             return -max((sums[k] or density[k], -k), below[k])[1]
@@ -216,7 +300,7 @@ class Page:
                 chosen.append(c)
                 marked[c : self.last[c] + 1] = [True] * (self.last[c] + 1 - c)
             at += children[k]
-        return chosen
+        return chosen, threshold
 
 
 def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:

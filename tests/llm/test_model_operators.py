@@ -193,6 +193,62 @@ def test_main_text_of_sibling_containers():
     assert html.main_text(page) == " ".join(x.strip() for x in first + second)
 
 
+def without(page, article, classes):
+    page = re.sub(r"</?article>", "", page) if article == "none" else page.replace("article>", "div>") if article == "div" else page
+    return re.sub(r' class="?[^ >]*', "", page) if classes else page
+
+
+def hand_marked(page):
+    inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    return " ".join(entities.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", inner))).split())
+
+
+@pytest.mark.parametrize("article,classes,least", [("none", False, 1), ("div", False, 1), ("kept", True, 0.97), ("none", True, 0.97), ("div", True, 0.97)])
+def test_density_tells_the_article_without_its_element(spark, article, classes, least):
+    """Pages without the article element, and without the class that names the advert: what is left is density."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = [html.main_text(without(p, article, classes)) == hand_marked(p) for p in pages]
+    assert np.mean(right) >= least
+
+
+def test_density_is_what_decides(spark, monkeypatch):
+    """With every density alike, the same pages are no longer told apart."""
+    pages = [without(r["html"], "div", True) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    told = [html.main_text(p) for p in pages]
+    monkeypatch.setattr(html, "composite_density", lambda *a: 1.0)
+    assert np.mean([a == html.main_text(p) for a, p in zip(told, pages, strict=True)]) < 0.5
+
+
+TEXT = "A sentence with many plain words in it, and then some more of them. " * 4
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # headings named like boilerplate, classes that only hold such a word, and link-only blocks between text
+        (f"<body><nav>menu</nav><div><h2 id=related-work>Related work</h2><p>{TEXT}</p><div class=form-factor>Small parts.</div><p><a href=x>a linked paragraph</a></p><p>{TEXT}</p></div></body>", f"Related work {TEXT}Small parts. a linked paragraph {TEXT}"),
+        # the heading stands before the container
+        (f"<body><div class=ad>Buy</div><h1>Title</h1><div><p>{TEXT}</p><p>{TEXT}</p></div><div class=comments><p>{TEXT}</p></div></body>", f"Title {TEXT}{TEXT}"),
+        # comments longer than the article
+        (f"<div><h1>Title</h1><p>{TEXT}</p></div><div id=comments><p>{TEXT}{TEXT}</p><p>{TEXT}{TEXT}</p></div>", f"Title {TEXT}"),
+        # a list of links at the end of the container
+        (f"<div><p>{TEXT}</p><p>{TEXT}</p><ul><li><a href=1>more like this</a></li><li><a href=2>and this</a></li></ul></div>", f"{TEXT}{TEXT}"),
+        # sections of one kind, some short
+        (f"<div><section><h2>One</h2><p>{TEXT}</p><p>{TEXT}</p></section><section><h2>Two</h2><p>{TEXT}</p></section></div>", f"One {TEXT}{TEXT}Two {TEXT}"),
+    ],
+)
+def test_main_text_by_hand(page, text):
+    assert html.main_text(page) == text.strip()
+
+
+def test_deep_and_long_pages_take_linear_time():
+    deep = "<div>" * 20000 + "<p>text</p>" + "</div>" * 20000
+    inline = "<p>" + "<b>" * 20000 + "text" + "<p>more" * 2000
+    assert html.main_text(deep) == "text"
+    assert html.main_text(inline).startswith("text more")
+    assert html.main_text(f"<article><p>{'word ' * 400000}</p></article>").count("word") == 400000
+
+
 def test_odd_page_rows(spark):
     df = spark.createDataFrame([(1, None, None, 5), (None, "u", "<p>x", 5), (1, None, None, 5)], "page_id long, url string, html string, text int")
     assert Counter((r["page_id"], r["url"], r["text"]) for r in rows(html.extract(df))) == Counter({(1, None, ""): 2, (None, "u", "x"): 1})
