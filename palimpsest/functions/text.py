@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 TOKEN = r"([a-z0-9_\-]{2,}|[가-힣]{2,})"
-STOPWORDS = ("the", "and", "for", "with", "that", "this", "are", "was", "is", "of", "to", "in", "it", "on", "as", "an", "by", "at", "or", "be")
+STOPWORDS = tuple(
+    (
+        "the is an in on of for to and or not it this that with from by at as be was are were been has had have do does did will would could should may might shall can "
+        "what who whom whose where when why how which about "
+        "그리고 그러나 그래서 또한 하지만 또는 혹은 이것 그것 저것 이런 그런 저런 무엇 어떻게 어디서 언제 어디 누구 입니다 됩니다 합니다 위해 통해 대해"
+    ).split()
+)
 
 
 def tokens(text: Column, stop: tuple[str, ...] = STOPWORDS) -> Column:
     """The set of tokens of a text, in order of first appearance, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
-    return F.array_except(found, F.array(*map(F.lit, stop)))
+    return F.array_except(found, F.array(*map(F.lit, stop))) if stop else F.array_distinct(found)
 
 
 def token_list(text: Column) -> Column:
@@ -92,11 +98,12 @@ def without_datetimes(text: Column) -> Column:
 
 
 #: Words by which a statement's polarity is told.
-NEGATIVE = ("not", "no", "never", "without", "failed", "disabled", "idiot", "scum")
-POSITIVE = ("yes", "always", "enabled", "works", "able", "well")
+NEGATIVE = ("no", "not", "never", "without", "disabled", "deprecated", "removed", "stopped", "retired", "broken", "false")
+POSITIVE = ("yes", "enabled", "active", "working", "live", "running", "true", "current", "primary")
 
 
 def polarity(token_set: Column) -> Column:
+    """Of a set that still holds stop words, for some of them tell the polarity."""
     negative, positive = (F.arrays_overlap(token_set, F.array(*map(F.lit, words))) for words in (NEGATIVE, POSITIVE))
     return F.when(negative & ~positive, "negative").when(positive & ~negative, "positive").otherwise("neutral")
 

@@ -15,6 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}.parquet"
@@ -50,24 +52,27 @@ def merged(edges: DataFrame, aliases: dict[int, int]) -> DataFrame:
     return edges.select(src.cast("long").alias("src"), "dst", "w").groupBy("src", "dst").agg(F.least(F.lit(1.0), F.sum("w")).alias("w"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4, every: int = 3) -> DataFrame:
     """node, activation: personalised PageRank from the seeds (node) over the projection, the seeds left out, the greatest
-    made 1. A node without edges gives its rank back to the seeds."""
+    made 1. A node without edges gives its rank back to the seeds. Runs jobs while the plan is built: after every few
+    rounds, ranks are written and looked at."""
     e = cut(projection(edges))
     share = e.join(e.groupBy("src").agg(F.sum("w").alias("_all")), "src").select("src", "dst", (F.col("w") / F.col("_all")).alias("p"))
     share = cut(share)
     nodes = e.select(F.col("src").alias("node")).unionByName(seeds.select("node")).distinct()
     count = seeds.distinct().count()
     start = nodes.join(seeds.distinct().withColumn("s", F.lit(1.0 / max(1, count))), "node", "left").na.fill(0.0, ["s"])
-    ranks = cut(start.withColumn("r", F.col("s")))
-    for _ in range(rounds):
-        given = share.join(ranks.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("p")).alias("g"))
-        held = ranks.join(given, "node", "left").na.fill(0.0, ["g"])
-        lost = 1.0 - (held.agg(F.sum("g")).first()[0] or 0.0)
-        new = cut(held.select("node", "s", (damping * (F.col("g") + lost * F.col("s")) + (1 - damping) * F.col("s")).alias("r"), F.col("r").alias("before")))
-        moved = new.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0] or 0.0
-        ranks = new.drop("before")
-        if moved < tolerance:
+    ranks = cut(start.withColumn("r", F.col("s")).withColumn("before", F.col("s")))
+    done = 0
+    while done < rounds:
+        for _ in range(min(every, rounds - done)):
+            given = share.join(ranks.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("p")).alias("g"))
+            held = ranks.select("node", "s", "r").join(given, "node", "left").na.fill(0.0, ["g"])
+            lost = held.agg((1.0 - F.coalesce(F.sum("g"), F.lit(0.0))).alias("lost"))  # one row
+            ranks = held.join(F.broadcast(lost)).select("node", "s", (damping * (F.col("g") + F.col("lost") * F.col("s")) + (1 - damping) * F.col("s")).alias("r"), F.col("r").alias("before"))
+            done += 1
+        ranks = cut(ranks)
+        if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0] or 0.0) < tolerance:
             break
     others = ranks.join(seeds, "node", "left_anti")
     most = others.agg(F.max("r").alias("most"))

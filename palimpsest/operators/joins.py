@@ -25,13 +25,20 @@ def top_k(candidates: DataFrame, by: list[str], order: list[Column], k: int, ran
     return candidates.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def each_with_each(queries: DataFrame, points: DataFrame, parts: int = 8) -> DataFrame:
+    """Every row of a stated set of queries with every row of points, in blocks: queries are dealt into parts by a hash,
+    points are sent to each part, and the two meet by an equi-join, so neither side has to fit in one place."""
+    dealt = queries.withColumn("_part", F.pmod(F.xxhash64(*queries.columns), F.lit(parts)))
+    return dealt.join(points.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), "_part").drop("_part")
+
+
 def nearest_vectors(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """qid, id, cosine, rank: exact. The set of queries is the smaller side: a nested loop over its rows, and the first k
-    of each query are kept within partitions before anything is shuffled."""
+    """qid, id, cosine, rank: exact. Queries meet the points in blocks, and the first k of each query are kept within
+    partitions before anything is shuffled."""
     q = queries.select(F.col(id_).alias("qid"), F.col(embedding).alias("_q"), vector.norm(F.col(embedding)).alias("_qn"))
     p = points.select(F.col(id_).alias("id"), F.col(embedding).alias("_p"), vector.norm(F.col(embedding)).alias("_pn"))
     n = F.col("_qn") * F.col("_pn")
-    both = q.join(p, F.col("qid") != F.col("id")).select("qid", "id", F.round(F.when(n == 0, 0.0).otherwise(vector.dot(F.col("_q"), F.col("_p")) / n), 4).alias("cosine"))
+    both = each_with_each(q, p).where("qid <> id").select("qid", "id", F.round(F.when(n == 0, 0.0).otherwise(vector.dot(F.col("_q"), F.col("_p")) / n), 4).alias("cosine"))
     return top_k(both, ["qid"], [F.desc("cosine"), F.col("id")], k)
 
 
@@ -60,10 +67,11 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def trace(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """node, hops: all that can be reached from start (node) over edges (child, parent) in at most `depth` steps, with the
-    fewest steps."""
-    seen = start.select("node", F.lit(0).alias("hops"))
-    front = seen
+    fewest steps. Each step is written, so that the plan doesn't hold the steps before it many times over."""
+    from palimpsest.operators.graph import cut
+
+    seen = front = cut(start.select("node", F.lit(0).alias("hops")))
     for k in range(1, depth + 1):
-        front = front.join(edges, F.col("node") == F.col("child")).select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k))
+        front = cut(front.join(edges, F.col("node") == F.col("child")).select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         seen = seen.unionByName(front)
     return seen

@@ -26,6 +26,14 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, qid: s
     return scored.groupBy("qid", "id").agg(F.sum(weight).alias("score"))
 
 
+def shared_tokens(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """queries (qid, q), docs (id, d), sets of tokens -> qid, id, n tokens shared, nq, nd: pairs that share one, found by an
+    equi-join on tokens. Documents' tokens that no query has don't reach it."""
+    asked = queries.select("qid", F.size("q").alias("nq"), F.explode("q").alias("token"))
+    held = docs.select("id", F.size("d").alias("nd"), F.explode("d").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    return asked.join(held, "token").groupBy("qid", "id", "nq", "nd").agg(F.count("*").alias("n"))
+
+
 def hybrid_blend(vector: Column, keyword: Column, source: Column) -> Column:
     """Similarity, keywords and the source's signal; without a signal, only the first two. Within [0, 1]."""
     signal = F.least(F.lit(1.0), F.greatest(F.lit(-0.2), source / 0.45))

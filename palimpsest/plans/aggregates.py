@@ -210,9 +210,9 @@ def agg_growth_leaks(t):
     return g.withColumn("leak", F.col("now_n") > 1.05 * F.col("then_n"))
 
 
-@query("agg_knowledge_gaps", "SELECT trim(regexp_replace(lower(substr(text, 1, 20)), '[^a-z ]', '', 'g')) AS asked, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 2")
+@query("agg_knowledge_gaps", "SELECT trim(regexp_replace(lower(text), '[^a-z ]', '', 'g')) AS asked, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 2")
 def agg_knowledge_gaps(t):
-    asked = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 20)), "[^a-z ]", ""))
+    asked = F.trim(F.regexp_replace(F.lower("text"), "[^a-z ]", ""))
     return t.conversations.where("role = 'user'").groupBy(asked.alias("asked")).agg(F.count("*").alias("n")).where("n >= 2")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text
 from palimpsest.session import Tables
 
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
@@ -83,11 +84,12 @@ def outcomes(t: Tables) -> DataFrame:
 
 OUTCOMES = "outcomes AS (SELECT concat_ws('/', l_returnflag, CAST(l_linenumber AS STRING)) AS domain, l_orderkey AS id, l_linestatus = 'F' AS overridden, 1 - l_discount AS confidence, CASE WHEN l_tax > 0.05 THEN 'late' ELSE 'wrong' END AS reason, l_shipdate AS ts FROM lineitem)"
 
-STOP = "['the','and','for','with','that','this','are','was','is','of','to','in','it','on','as','an','by','at','or','be']"
+STOP = str(list(text.STOPWORDS))
 
 
-def duck_tokens(text: str) -> str:
-    return f"list_filter(list_distinct(regexp_extract_all(lower({text}), '[a-z0-9_\\-]{{2,}}|[가-힣]{{2,}}')), lambda x: NOT list_contains({STOP}, x))"
+def duck_tokens(of: str, stop: bool = True) -> str:
+    every = f"list_distinct(regexp_extract_all(lower({of}), '[a-z0-9_\\-]{{2,}}|[가-힣]{{2,}}'))"
+    return f"list_filter({every}, lambda x: NOT list_contains({STOP}, x))" if stop else every
 
 
 def duck_jaccard(a: str, b: str) -> str:

@@ -6,16 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import joins
+from palimpsest.operators import joins, retrieval
 from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, FACTS, NOW, atoms, audit, duck_jaccard, duck_tokens, edges, facts, now_
 from palimpsest.plans.registry import query
 
 COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
 
 
-@query("join_knn", f"WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round({COS}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 5), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM s) SELECT qid, id, cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+@query("join_knn", f"WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round({COS}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM s) SELECT qid, id, cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
 def join_knn(t):
-    return joins.nearest_vectors(t.embeddings, t.embeddings.where("vec_id < 5"), 10)
+    return joins.nearest_vectors(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), 10)
 
 
 @query("join_knn_per_label", f"WITH s AS (SELECT a.vec_id AS qid, b.label AS label, b.vec_id AS id, round({COS}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id = 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY cosine DESC, id) AS rank FROM s) SELECT qid, label, id, cosine FROM r WHERE rank <= 3")
@@ -141,12 +141,12 @@ def join_contradictions(t):
     return p.select(F.explode(F.array("id", "other")).alias("id")).groupBy("id").agg(F.count("*").alias("pending"))
 
 
-@query("join_corroboration", f"WITH s AS (SELECT a.vec_id AS id, b.label, max({COS}) AS m FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20 GROUP BY ALL) SELECT id, CAST(round(least(1.0, 0.4 + 0.1 * count(*) FILTER (m >= 0.3)), 4) AS DOUBLE) AS trust FROM s GROUP BY id")
+@query("join_corroboration", f"WITH s AS (SELECT a.vec_id AS id, b.label, max({COS}) AS m FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY ALL) SELECT id, CAST(round(least(1.0, 0.4 + 0.1 * count(*) FILTER (m >= 0.3)), 4) AS DOUBLE) AS trust FROM s GROUP BY id")
 def join_corroboration(t):
     from palimpsest.functions.vector import cosine
 
-    q = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("id"), F.col("embedding").alias("q"))
-    s = t.embeddings.join(F.broadcast(q), F.col("vec_id") != F.col("id")).groupBy("id", "label").agg(F.max(cosine(F.col("q"), F.col("embedding"))).alias("m"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("q"))
+    s = joins.each_with_each(q, t.embeddings).where("vec_id <> id").groupBy("id", "label").agg(F.max(cosine(F.col("q"), F.col("embedding"))).alias("m"))
     return s.groupBy("id").agg(F.round(F.least(F.lit(1.0), 0.4 + 0.1 * F.count(F.when(F.col("m") >= 0.3, 1))), 4).alias("trust"))
 
 
@@ -214,26 +214,30 @@ def join_contradiction_spread(t):
     return audit(t).where("latency > 100").join(atoms(t).where("superseded_by IS NOT NULL").select("id"), F.col("atom") == F.col("id"), "left_semi").select("event_id", "atom")
 
 
-@query("join_text_matches", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))")
+@query("join_text_matches", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def join_text_matches(t):
-    b = t.benchmark.select("item_id", F.substring("text", 1, 60).alias("probe"))
-    return t.documents.join(b, F.col("text").contains(F.col("probe"))).select("item_id", "doc_id")
+    """A text that holds another has all of its tokens, but for the first and the last, which may go on in it."""
+    b = t.benchmark.select("item_id", F.col("text").alias("probe"))
+    q = b.select(F.col("item_id").alias("qid"), text.tokens(F.col("probe")).alias("q"))
+    near = retrieval.shared_tokens(q, t.documents.select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("d"))).where("n >= nq - 2").select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
+    short = joins.each_with_each(q.where("size(q) <= 2").select(F.col("qid").alias("item_id")), t.documents.select("doc_id"))
+    return near.union(short).distinct().join(b, "item_id").join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("probe"))).select("item_id", "doc_id")
 
 
-@query("join_near_edges", f"WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 4) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 50), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s) SELECT a, b, c FROM r WHERE k <= 3 AND 1 - c <= 0.8")
+@query("join_near_edges", f"WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 4) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s) SELECT a, b, c FROM r WHERE k <= 3 AND 1 - c <= 0.8")
 def join_near_edges(t):
-    found = joins.nearest_vectors(t.embeddings, t.embeddings.where("vec_id < 50"), 5).where("rank <= 3 AND 1 - cosine <= 0.8")
+    found = joins.nearest_vectors(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), 5).where("rank <= 3 AND 1 - cosine <= 0.8")
     return found.select(F.col("qid").alias("a"), F.col("id").alias("b"), F.col("cosine").alias("c"))
 
 
-@query("join_cluster_size", f"WITH s AS (SELECT a.vec_id AS id, round({COS}, 4) AS c, b.vec_id AS o FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 50), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, o) AS k FROM s) SELECT id, 1 + count(*) FILTER (c >= 0.3) AS cluster_size FROM r WHERE k <= 10 GROUP BY id")
+@query("join_cluster_size", f"WITH s AS (SELECT a.vec_id AS id, round({COS}, 4) AS c, b.vec_id AS o FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, o) AS k FROM s) SELECT id, 1 + count(*) FILTER (c >= 0.3) AS cluster_size FROM r WHERE k <= 10 GROUP BY id")
 def join_cluster_size(t):
-    found = joins.nearest_vectors(t.embeddings, t.embeddings.where("vec_id < 50"), 10)
+    found = joins.nearest_vectors(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), 10)
     return found.groupBy(F.col("qid").alias("id")).agg((1 + F.count(F.when(F.col("cosine") >= 0.3, 1))).alias("cluster_size"))
 
 
-@query("join_fact_overlap", f"WITH {FACTS} SELECT a.id AS a, b.id AS b FROM facts a JOIN facts b ON a.entity = b.entity AND a.attribute <> b.attribute AND a.id < b.id AND a.value <> b.value AND a.valid_from <= coalesce(b.valid_to, TIMESTAMP '9999-01-01') AND b.valid_from <= coalesce(a.valid_to, TIMESTAMP '9999-01-01') WHERE a.entity < 20")
+@query("join_fact_overlap", f"WITH {FACTS} SELECT a.id AS a, b.id AS b FROM facts a JOIN facts b ON a.entity = b.entity AND a.attribute <> b.attribute AND a.id < b.id AND a.value <> b.value AND a.valid_from <= coalesce(b.valid_to, TIMESTAMP '9999-01-01') AND b.valid_from <= coalesce(a.valid_to, TIMESTAMP '9999-01-01')")
 def join_fact_overlap(t):
-    f = facts(t).where("entity < 20").select("id", "entity", "attribute", "value", "valid_from", F.coalesce("valid_to", F.expr("TIMESTAMP '9999-01-01'")).alias("until"))
+    f = facts(t).select("id", "entity", "attribute", "value", "valid_from", F.coalesce("valid_to", F.expr("TIMESTAMP '9999-01-01'")).alias("until"))
     b = f.toDF("b", "entity", "b_attribute", "b_value", "b_from", "b_until")
     return f.join(b, "entity").where("attribute <> b_attribute AND id < b AND value <> b_value AND valid_from <= b_until AND b_from <= until").select(F.col("id").alias("a"), "b")

@@ -10,8 +10,11 @@ from palimpsest.operators import graph, joins, rank, state
 from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, NOW, atoms, audit, duck_decay, duck_jaccard, duck_tokens, edges, now_
 from palimpsest.plans.joins import PART_EDGES, part_edges
 from palimpsest.plans.registry import query
+from palimpsest.plans.windows import LISTS, ranked_lists
 
 C = F.col
+#: Characters that stand for a title, and those of a body that the rerank reads, as the operator defines it.
+TITLE, BODY = 40, 1500
 AGE = f"greatest(0.0, (epoch({NOW}) - epoch(created_at)) / 86400)"
 
 
@@ -25,11 +28,13 @@ def rank_effective_trust(t):
     return atoms(t).select("id", F.round(temporal.effective_trust(C("collection"), C("created_at"), now_()), 6).alias("trust"))
 
 
-@query("rank_overlap", f"WITH q AS (SELECT item_id, {duck_tokens('text')} AS q FROM benchmark WHERE item_id < 3), d AS (SELECT doc_id, {duck_tokens('substr(text, 1, 40)')} AS h, {duck_tokens('substr(text, 1, 1500)')} AS b FROM documents), s AS (SELECT item_id, doc_id, {duck_jaccard('q', 'h')} AS jt, {duck_jaccard('q', 'b')} AS jb FROM q, d) SELECT item_id, doc_id, round((1 + 2 * jt + jb) * CASE WHEN jt = 0 AND jb < 0.05 THEN 0.6 ELSE 1.0 END, 6) AS factor FROM s")
+@query("rank_overlap", f"WITH {LISTS}, h AS (SELECT doc_id, {duck_tokens(f'substr(text, 1, {TITLE})')} AS h, {duck_tokens(f'substr(text, 1, {BODY})')} AS b FROM documents), o AS (SELECT q.item_id, h.doc_id, {duck_jaccard('q', 'h')} AS jt, {duck_jaccard('q', 'b')} AS jb FROM (SELECT DISTINCT qid, id FROM k) c JOIN q ON q.item_id = c.qid JOIN h ON h.doc_id = c.id) SELECT item_id, doc_id, round((1 + 2 * jt + jb) * CASE WHEN jt = 0 AND jb < 0.05 THEN 0.6 ELSE 1.0 END, 6) AS factor FROM o")
 def rank_overlap(t):
-    q = t.benchmark.where("item_id < 3").select("item_id", text.tokens(C("text")).alias("q"))
-    d = t.documents.select("doc_id", text.tokens(F.substring("text", 1, 40)).alias("h"), text.tokens(F.substring("text", 1, 1500)).alias("b"))
-    return d.join(F.broadcast(q)).select("item_id", "doc_id", F.round(rank.overlap_rerank(C("q"), C("h"), C("b")), 6).alias("factor"))
+    """All candidates of all questions: what their ranked lists hold."""
+    q = t.benchmark.select("item_id", text.tokens(C("text")).alias("q"))
+    d = t.documents.select("doc_id", text.tokens(F.substring("text", 1, TITLE)).alias("h"), text.tokens(F.substring("text", 1, BODY)).alias("b"))
+    candidates = ranked_lists(t).select(C("qid").alias("item_id"), C("id").alias("doc_id")).distinct()
+    return candidates.join(q, "item_id").join(d, "doc_id").select("item_id", "doc_id", F.round(rank.overlap_rerank(C("q"), C("h"), C("b")), 6).alias("factor"))
 
 
 @query("rank_position", "SELECT doc_id, round(CASE WHEN strpos(lower(text), 'tion') = 0 THEN 1.0 ELSE 1 + 0.5 * greatest(0.0, 1 - (strpos(lower(text), 'tion') - 1) / 500) END, 6) AS bonus FROM documents")
@@ -84,12 +89,12 @@ def rank_authority(t):
     return atoms(t).select("id", F.round(rank.authority(C("tier"), C("confidence"), C("trust"), C("collection") == "canonical", C("superseded_by").isNotNull()), 9).alias("authority"))
 
 
-@query("rank_conflict_flags", f"WITH {ATOMS}, r AS (SELECT id, topic_key, collection, {duck_tokens('substr(text, 1, 400)')} AS x FROM atoms QUALIFY row_number() OVER (PARTITION BY topic_key ORDER BY confidence DESC, id) <= 10) SELECT DISTINCT a.id FROM r a JOIN r b ON a.topic_key = b.topic_key AND a.id <> b.id AND a.collection <> b.collection WHERE {duck_jaccard('a.x', 'b.x')} > 0.05 AND {duck_jaccard('a.x', 'b.x')} < 0.7")
+@query("rank_conflict_flags", f"WITH {ATOMS}, r AS (SELECT id, topic_key, collection, {duck_tokens('text')} AS x FROM atoms QUALIFY row_number() OVER (PARTITION BY topic_key ORDER BY confidence DESC, id) <= 10) SELECT DISTINCT a.id FROM r a JOIN r b ON a.topic_key = b.topic_key AND a.id <> b.id AND a.collection <> b.collection WHERE {duck_jaccard('a.x', 'b.x')} > 0.3 AND {duck_jaccard('a.x', 'b.x')} < 0.7")
 def rank_conflict_flags(t):
-    r = joins.top_k(atoms(t).select("id", "topic_key", "collection", "confidence", "text"), ["topic_key"], [F.desc("confidence"), C("id")], 10).select("id", "topic_key", "collection", text.tokens(F.substring("text", 1, 400)).alias("x"))
+    r = joins.top_k(atoms(t).select("id", "topic_key", "collection", "confidence", "text"), ["topic_key"], [F.desc("confidence"), C("id")], 10).select("id", "topic_key", "collection", text.tokens(C("text")).alias("x"))
     b = r.toDF("b_id", "topic_key", "b_collection", "y")
     j = text.jaccard(C("x"), C("y"))
-    return r.join(b, "topic_key").where("id <> b_id AND collection <> b_collection").where((j > 0.05) & (j < 0.7)).select("id").distinct()
+    return r.join(b, "topic_key").where("id <> b_id AND collection <> b_collection").where((j > 0.3) & (j < 0.7)).select("id").distinct()
 
 
 @query("rank_cascade", f"WITH {ATOMS}, s AS (SELECT id, topic_key, confidence * 100 * (0.4 + 0.6 * coalesce(trust, 0.7)) * {duck_decay('created_at', 'collection', 'valid_until')} + CASE WHEN collection = 'canonical' THEN 8 ELSE 0 END AS score FROM atoms) SELECT topic_key, id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY topic_key ORDER BY round(score, 8) DESC, id) <= 5")
@@ -125,10 +130,10 @@ def state_ratchet(t):
     return atoms(t).groupBy("topic_key").agg(F.max(state.tier_rank(C("tier"))).alias("tier_rank"), F.max(F.when(C("collection") == "canonical", 1).otherwise(0)).alias("canonical"), F.min("created_at").cast("timestamp").cast("long").alias("valid_from"), F.max_by("id", "id").alias("newest"))
 
 
-@query("state_rollback", f"WITH {AUDIT}, e AS (SELECT atom, sum(CASE outcome WHEN 'right' THEN 0.4 WHEN 'wrong' THEN -0.6 ELSE 0.0 END / greatest(1, actor)) AS s FROM audit WHERE event_id < 8000 AND atom IS NOT NULL GROUP BY atom) SELECT atom, round(least(0.98, greatest(0.02, 1 / (1 + exp(-s)))), 6) AS confidence FROM e")
+@query("state_rollback", f"WITH {AUDIT}, e AS (SELECT atom, sum(CASE outcome WHEN 'right' THEN 0.4 WHEN 'wrong' THEN -0.6 ELSE 0.0 END / greatest(1, actor)) AS s FROM audit WHERE atom IS NOT NULL GROUP BY atom) SELECT atom, round(least(0.98, greatest(0.02, 1 / (1 + exp(-s)))), 6) AS confidence FROM e")
 def state_rollback(t):
     weight = F.when(C("outcome") == "right", 0.4).when(C("outcome") == "wrong", -0.6).otherwise(0.0)
-    e = audit(t).where("event_id < 8000 AND atom IS NOT NULL").groupBy("atom").agg(F.sum(weight / F.greatest(F.lit(1), C("actor"))).alias("s"))
+    e = audit(t).where("atom IS NOT NULL").groupBy("atom").agg(F.sum(weight / F.greatest(F.lit(1), C("actor"))).alias("s"))
     return e.select("atom", F.round(state.rolled_back(C("s")), 6).alias("confidence"))
 
 

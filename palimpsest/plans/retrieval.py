@@ -14,12 +14,14 @@ from palimpsest.plans.registry import query
 from palimpsest.plans.windows import LISTS, ranked_lists
 
 C = F.col
+#: Characters of a section that its rank is told by, as the operator defines it.
+SECTION = 800
 TOKS = "regexp_extract_all(lower(text), '[a-z0-9_\\-]{2,}|[가-힣]{2,}')"
 
 
-@query("join_bm25", f"WITH d AS (SELECT doc_id AS id, {TOKS} AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d), q AS (SELECT DISTINCT item_id AS qid, unnest({TOKS}) AS term FROM benchmark WHERE item_id < 5), tf AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 4) AS score FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY ALL")
+@query("join_bm25", f"WITH d AS (SELECT doc_id AS id, {TOKS} AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d), q AS (SELECT DISTINCT item_id AS qid, unnest({TOKS}) AS term FROM benchmark), tf AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 4) AS score FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY ALL")
 def join_bm25(t):
-    found = retrieval.bm25(t.documents, t.benchmark.where("item_id < 5"), "doc_id", "text", "item_id", "text")
+    found = retrieval.bm25(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
     return found.select("qid", "id", F.round("score", 4).alias("score"))
 
 
@@ -32,12 +34,12 @@ def join_hybrid_blend(t):
     return s.select("id", F.round(retrieval.hybrid_blend(C("v"), text.coverage(C("k"), C("x")), (C("label") % 3) * 0.2), 6).alias("score"))
 
 
-@query("join_hybrid_knn", f"WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round({COS}, 4) AS dense, round(list_dot_product(CAST(a.embedding[1:16] AS DOUBLE[]), CAST(b.embedding[1:16] AS DOUBLE[])), 4) AS short FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 4), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, id) - 1 AS rd, row_number() OVER (PARTITION BY qid ORDER BY short DESC, id) - 1 AS rs FROM s), f AS (SELECT qid, id, dense, CASE WHEN rd < 30 THEN 1.0 / (60 + rd) ELSE 0 END + CASE WHEN rs < 20 THEN 1.0 / (60 + rs) ELSE 0 END AS rrf FROM r WHERE rd < 30 OR rs < 20), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, id) <= 30) SELECT qid, id, dense, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, id) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense DESC, id) <= 10")
+@query("join_hybrid_knn", f"WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round({COS}, 4) AS dense, round(list_dot_product(CAST(a.embedding[1:16] AS DOUBLE[]), CAST(b.embedding[1:16] AS DOUBLE[])), 4) AS short FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, id) - 1 AS rd, row_number() OVER (PARTITION BY qid ORDER BY short DESC, id) - 1 AS rs FROM s), f AS (SELECT qid, id, dense, CASE WHEN rd < 30 THEN 1.0 / (60 + rd) ELSE 0 END + CASE WHEN rs < 20 THEN 1.0 / (60 + rs) ELSE 0 END AS rrf FROM r WHERE rd < 30 OR rs < 20), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, id) <= 30) SELECT qid, id, dense, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, id) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense DESC, id) <= 10")
 def join_hybrid_knn(t):
     from palimpsest.functions.vector import dot
 
-    q = t.embeddings.where("vec_id < 4").select(C("vec_id").alias("qid"), C("embedding").alias("q"))
-    s = t.embeddings.join(F.broadcast(q), C("vec_id") != C("qid")).select("qid", C("vec_id").alias("id"), F.round(cosine(C("q"), C("embedding")), 4).alias("dense"), F.round(dot(F.slice("q", 1, 16), F.slice("embedding", 1, 16)), 4).alias("short"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(C("vec_id").alias("qid"), C("embedding").alias("q"))
+    s = joins.each_with_each(q, t.embeddings).where("vec_id <> qid").select("qid", C("vec_id").alias("id"), F.round(cosine(C("q"), C("embedding")), 4).alias("dense"), F.round(dot(F.slice("q", 1, 16), F.slice("embedding", 1, 16)), 4).alias("short"))
     both = joins.top_k(s.select("qid", "id", C("dense").alias("v")), ["qid"], [F.desc("v"), C("id")], 30).withColumn("source", F.lit("dense")).unionByName(joins.top_k(s.select("qid", "id", C("short").alias("v")), ["qid"], [F.desc("v"), C("id")], 20).withColumn("source", F.lit("short")))
     fused = fusion.rrf(both.withColumn("rank", C("rank") - 1), {}).join(s.select("qid", "id", "dense"), ["qid", "id"])
     first = joins.top_k(fused, ["qid"], [F.desc(F.round(C("score") / 3000, 9)), C("id")], 30).drop("rank")
@@ -56,18 +58,18 @@ def join_episode_peers(t):
     return a.join(a.where("atom = 7").select("session"), "session", "left_semi").where("atom <> 7").select("atom").distinct()
 
 
-@query("join_semantic_supersession", f"WITH {ATOMS}, p AS (SELECT n.id AS new_id, o.id AS old_id, {COS} AS c FROM atoms n JOIN atoms o ON n.topic_key = o.topic_key AND n.id > o.id AND n.created_at >= o.created_at JOIN embeddings a ON a.vec_id = n.id JOIN embeddings b ON b.vec_id = o.id) SELECT new_id, old_id, CASE WHEN c >= 0.3 THEN 'restate' WHEN c < 0.0 THEN 'expire' ELSE 'coexist' END AS verdict FROM p QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY old_id DESC) <= 20")
+@query("join_semantic_supersession", f"WITH {ATOMS}, p AS (SELECT n.id AS new_id, o.id AS old_id, {COS} AS c FROM atoms n JOIN atoms o ON n.topic_key = o.topic_key AND n.id > o.id AND n.created_at >= o.created_at JOIN embeddings a ON a.vec_id = n.id JOIN embeddings b ON b.vec_id = o.id) SELECT new_id, old_id, CASE WHEN c >= 0.85 THEN 'restate' WHEN c < 0.70 THEN 'expire' ELSE 'coexist' END AS verdict FROM p QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY old_id DESC) <= 20")
 def join_semantic_supersession(t):
     a = atoms(t).select("id", "topic_key", "created_at").join(t.embeddings.select(C("vec_id").alias("id"), "embedding"), "id")
     o = a.toDF("old_id", "topic_key", "old_at", "old")
     p = a.join(o, "topic_key").where("id > old_id AND created_at >= old_at").select(C("id").alias("new_id"), "old_id", cosine(C("embedding"), C("old")).alias("c"))
-    verdict = F.when(C("c") >= 0.3, "restate").when(C("c") < 0.0, "expire").otherwise("coexist")
+    verdict = F.when(C("c") >= 0.85, "restate").when(C("c") < 0.70, "expire").otherwise("coexist")
     return joins.top_k(p, ["new_id"], [F.desc("old_id")], 20).select("new_id", "old_id", verdict.alias("verdict"))
 
 
-@query("join_entity_merge", f"WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 4) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 120 AND b.vec_id < 120) SELECT a, b, c FROM p WHERE c >= 0.25")
+@query("join_entity_merge", f"WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 4) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, c FROM p WHERE c >= 0.25")
 def join_entity_merge(t):
-    e = t.embeddings.where("vec_id < 120")
+    e = t.embeddings
     a, b = e.toDF("a", "x", "label"), e.toDF("b", "y", "label")
     return a.join(b, "label").where("a < b").select("a", "b", F.round(cosine(C("x"), C("y")), 4).alias("c")).where("c >= 0.25")
 
@@ -87,10 +89,10 @@ def rank_crag(t):
     return g.select("qid", F.round(retrieval.crag_confidence(C("top"), C("spread"), F.lit(False), C("v"), C("n"), F.lit(0.6)), 6).alias("confidence"))
 
 
-@query("rank_maxsim", f"WITH s AS (SELECT a.label AS query, a.vec_id AS phrase, b.vec_id % 40 AS doc, max({COS}) AS m FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 12 GROUP BY ALL) SELECT query, doc, round(least(1.0, avg(m)), 4) AS score FROM s GROUP BY ALL")
+@query("rank_maxsim", f"WITH s AS (SELECT a.label AS query, a.vec_id AS phrase, b.vec_id % 40 AS doc, max({COS}) AS m FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY ALL) SELECT query, doc, round(least(1.0, avg(m)), 4) AS score FROM s GROUP BY ALL")
 def rank_maxsim(t):
-    q = t.embeddings.where("vec_id < 12").select(C("label").alias("query"), C("vec_id").alias("phrase"), C("embedding").alias("q"))
-    s = t.embeddings.join(F.broadcast(q), C("vec_id") != C("phrase")).groupBy("query", "phrase", (C("vec_id") % 40).alias("doc")).agg(F.max(cosine(C("q"), C("embedding"))).alias("m"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(C("label").alias("query"), C("vec_id").alias("phrase"), C("embedding").alias("q"))
+    s = joins.each_with_each(q, t.embeddings).where("vec_id <> phrase").groupBy("query", "phrase", (C("vec_id") % 40).alias("doc")).agg(F.max(cosine(C("q"), C("embedding"))).alias("m"))
     return s.groupBy("query", "doc").agg(F.round(F.least(F.lit(1.0), F.avg("m")), 4).alias("score"))
 
 
@@ -119,10 +121,10 @@ def rank_peer_bonus(t):
     return r.join(f, "topic_key").select("id", F.round(F.when(C("k") > 3, lifted).otherwise(C("s")), 6).alias("score"))
 
 
-@query("rank_prompt_sections", f"WITH p AS (SELECT {duck_tokens('text')} AS p FROM benchmark WHERE item_id = 2), d AS (SELECT doc_id, {duck_tokens('substr(text, 1, 600)')} AS x FROM documents) SELECT doc_id, row_number() OVER (ORDER BY round({duck_jaccard('p', 'x')}, 9) DESC, doc_id) AS place FROM d, p ORDER BY place LIMIT 15")
+@query("rank_prompt_sections", f"WITH p AS (SELECT {duck_tokens('text')} AS p FROM benchmark WHERE item_id = 2), d AS (SELECT doc_id, {duck_tokens(f'substr(text, 1, {SECTION})')} AS x FROM documents) SELECT doc_id, row_number() OVER (ORDER BY round({duck_jaccard('p', 'x')}, 9) DESC, doc_id) AS place FROM d, p ORDER BY place LIMIT 15")
 def rank_prompt_sections(t):
     p = t.benchmark.where("item_id = 2").select(text.tokens(C("text")).alias("p"))
-    d = t.documents.select("doc_id", text.tokens(F.substring("text", 1, 600)).alias("x")).join(F.broadcast(p))
+    d = t.documents.select("doc_id", text.tokens(F.substring("text", 1, SECTION)).alias("x")).join(F.broadcast(p))
     top = d.select("doc_id", F.round(text.jaccard(C("p"), C("x")), 9).alias("j")).orderBy(F.desc("j"), "doc_id").limit(15)
     return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("j"), "doc_id")).cast("long").alias("place"))
 
@@ -189,9 +191,9 @@ def graph_hebbian(t):
     return edges(t).select("src", "dst", F.round(F.least(F.lit(1.0), C("w") + 0.05 * (C("n") % 4)), 6).alias("w"))
 
 
-@query("graph_summaries", f"WITH s AS (SELECT source, list_distinct(flatten(list({duck_tokens('substr(text, 1, 200)')}))) AS x FROM documents GROUP BY source), q AS (SELECT list_filter({duck_tokens('text')}, lambda w: length(w) >= 4) AS q FROM benchmark WHERE item_id = 3) SELECT source FROM s, q WHERE list_has_any(x, q)")
+@query("graph_summaries", f"WITH s AS (SELECT source, list_distinct(flatten(list({duck_tokens('text')}))) AS x FROM documents GROUP BY source), q AS (SELECT list_filter({duck_tokens('text')}, lambda w: length(w) >= 4) AS q FROM benchmark WHERE item_id = 3) SELECT source FROM s, q WHERE list_has_any(x, q)")
 def graph_summaries(t):
-    s = t.documents.select("source", F.explode(text.tokens(F.substring("text", 1, 200))).alias("w"))
+    s = t.documents.select("source", F.explode(text.tokens(C("text"))).alias("w"))
     q = t.benchmark.where("item_id = 3").select(F.explode(text.tokens(C("text"))).alias("w")).where("length(w) >= 4")
     return s.join(q, "w", "left_semi").select("source").distinct()
 
@@ -202,17 +204,17 @@ def graph_greedy_clusters(t):
     return graph.complete_link(e, 0.15, 12)
 
 
-@query("state_write_class", f"WITH s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(1 - {COS}, 4) AS d FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE a.vec_id BETWEEN 100 AND 140), m AS (SELECT id, other, d FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) = 1) SELECT id, other, CASE WHEN d < 0.4 THEN 'NOOP' WHEN d < 0.65 THEN 'UPDATE' ELSE 'ADD' END AS operation FROM m")
+@query("state_write_class", f"WITH s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(1 - {COS}, 4) AS d FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE a.vec_id % 20 = 0), m AS (SELECT id, other, d FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) = 1) SELECT id, other, CASE WHEN d < 0.4 THEN 'NOOP' WHEN d < 0.65 THEN 'UPDATE' ELSE 'ADD' END AS operation FROM m")
 def state_write_class(t):
-    new = t.embeddings.where("vec_id BETWEEN 100 AND 140").select(C("vec_id").alias("id"), C("embedding").alias("x"))
-    s = t.embeddings.join(F.broadcast(new), C("vec_id") < C("id")).select("id", C("vec_id").alias("other"), F.round(1 - cosine(C("x"), C("embedding")), 4).alias("d"))
+    new = t.embeddings.where("vec_id % 20 = 0").select(C("vec_id").alias("id"), C("embedding").alias("x"))
+    s = joins.each_with_each(new, t.embeddings).where("vec_id < id").select("id", C("vec_id").alias("other"), F.round(1 - cosine(C("x"), C("embedding")), 4).alias("d"))
     return joins.top_k(s, ["id"], [C("d"), C("other")], 1).select("id", "other", F.when(C("d") < 0.4, "NOOP").when(C("d") < 0.65, "UPDATE").otherwise("ADD").alias("operation"))
 
 
-@query("state_novelty", f"SELECT a.vec_id AS id, round(1 - max({COS}), 4) AS novelty FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE a.vec_id BETWEEN 200 AND 230 GROUP BY a.vec_id")
+@query("state_novelty", f"SELECT a.vec_id AS id, round(1 - max({COS}), 4) AS novelty FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id")
 def state_novelty(t):
-    new = t.embeddings.where("vec_id BETWEEN 200 AND 230").select(C("vec_id").alias("id"), C("embedding").alias("x"))
-    return t.embeddings.join(F.broadcast(new), C("vec_id") < C("id")).groupBy("id").agg(F.round(1 - F.max(cosine(C("x"), C("embedding"))), 4).alias("novelty"))
+    new = t.embeddings.where("vec_id % 20 = 0").select(C("vec_id").alias("id"), C("embedding").alias("x"))
+    return joins.each_with_each(new, t.embeddings).where("vec_id < id").groupBy("id").agg(F.round(1 - F.max(cosine(C("x"), C("embedding"))), 4).alias("novelty"))
 
 
 @query("state_working_memory", f"WITH {AUDIT} SELECT session, route, arg_max(event_id, CAST(epoch_us(ts) AS HUGEINT) * 100000 + event_id % 100000) AS newest, count(*) AS n FROM audit GROUP BY session, route HAVING count(*) >= 2")

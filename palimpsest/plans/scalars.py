@@ -24,11 +24,11 @@ def fn_sparse_tf(t):
     return found.groupBy("token").agg(F.count("*").alias("tf")).withColumn("idx", text.token_index(F.col("token")))
 
 
-@query("fn_jaccard", f"WITH q AS (SELECT item_id, {D('text')} AS q FROM benchmark WHERE item_id < 5), d AS (SELECT doc_id, {D('text')} AS d FROM documents) SELECT item_id, doc_id, round({duck_jaccard('q', 'd')}, 6) AS j, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q) END, 6) AS cover, round(CASE WHEN least(len(q), len(d)) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q, d)) AS DOUBLE) / least(len(q), len(d)) END, 6) AS inside FROM q JOIN d ON item_id % 5 = doc_id % 5")
+@query("fn_jaccard", f"WITH q AS (SELECT item_id, {D('text')} AS q FROM benchmark), d AS (SELECT doc_id, {D('text')} AS d FROM documents) SELECT item_id, doc_id, round({duck_jaccard('q', 'd')}, 6) AS j, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q) END, 6) AS cover, round(CASE WHEN least(len(q), len(d)) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q, d)) AS DOUBLE) / least(len(q), len(d)) END, 6) AS inside FROM q JOIN d ON item_id = doc_id % 40")
 def fn_jaccard(t):
-    q = t.benchmark.where("item_id < 5").select("item_id", text.tokens(F.col("text")).alias("q"))
+    q = t.benchmark.select("item_id", text.tokens(F.col("text")).alias("q"))
     d = t.documents.select("doc_id", text.tokens(F.col("text")).alias("d"))
-    both = q.join(d, F.col("item_id") % 5 == F.col("doc_id") % 5)
+    both = q.join(d, F.col("item_id") == F.col("doc_id") % 40)
     return both.select("item_id", "doc_id", F.round(text.jaccard(F.col("q"), F.col("d")), 6).alias("j"), F.round(text.coverage(F.col("q"), F.col("d")), 6).alias("cover"), F.round(text.containment(F.col("q"), F.col("d")), 6).alias("inside"))
 
 
@@ -114,9 +114,9 @@ def fn_cue_hash(t):
 _neg, _pos = (str(list(w)) for w in (text.NEGATIVE, text.POSITIVE))
 
 
-@query("fn_polarity", f"WITH d AS (SELECT doc_id, {D('text')} AS x FROM documents) SELECT doc_id, CASE WHEN list_has_any(x, {_neg}) AND NOT list_has_any(x, {_pos}) THEN 'negative' WHEN list_has_any(x, {_pos}) AND NOT list_has_any(x, {_neg}) THEN 'positive' ELSE 'neutral' END AS polarity FROM d")
+@query("fn_polarity", f"WITH d AS (SELECT doc_id, {D('text', False)} AS x FROM documents) SELECT doc_id, CASE WHEN list_has_any(x, {_neg}) AND NOT list_has_any(x, {_pos}) THEN 'negative' WHEN list_has_any(x, {_pos}) AND NOT list_has_any(x, {_neg}) THEN 'positive' ELSE 'neutral' END AS polarity FROM d")
 def fn_polarity(t):
-    return t.documents.select("doc_id", text.polarity(text.tokens(F.col("text"))).alias("polarity"))
+    return t.documents.select("doc_id", text.polarity(text.tokens(F.col("text"), stop=())).alias("polarity"))
 
 
 @query("fn_numbers", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')[1:6], ',') AS numbers, md5(regexp_replace(regexp_replace(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}', '', 'g'), '[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?', '', 'g')) AS bare FROM documents")

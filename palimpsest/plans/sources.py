@@ -188,7 +188,7 @@ def stream_slo(t):
 
 # -- evaluation
 
-HITS = f"{LISTS}, rk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(s / den, 9) DESC, id) AS rank FROM f JOIN den USING (qid)), top AS (SELECT qid, id, rank FROM rk WHERE rank <= 5), hit AS (SELECT b.item_id AS qid, min(rank) FILTER (contains(d.text, substr(b.text, 1, 40))) AS rank FROM benchmark b LEFT JOIN top ON b.item_id = qid LEFT JOIN documents d ON d.doc_id = id WHERE b.item_id < 6 GROUP BY b.item_id)"
+HITS = f"{LISTS}, rk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(s / den, 9) DESC, id) AS rank FROM f JOIN den USING (qid)), top AS (SELECT qid, id, rank FROM rk WHERE rank <= 5), hit AS (SELECT b.item_id AS qid, min(rank) FILTER (contains(d.text, b.text)) AS rank FROM benchmark b LEFT JOIN top ON b.item_id = qid LEFT JOIN documents d ON d.doc_id = id GROUP BY b.item_id)"
 
 
 def hits(t):
@@ -196,7 +196,7 @@ def hits(t):
 
     fused = fusion.rrf(ranked_lists(t), {"jaccard": 0.9, "cover": 1.0})
     top = joins.top_k(fused, ["qid"], [F.desc(F.round(C("score") / 100, 9)), C("id")], 5)
-    cases = t.benchmark.where("item_id < 6").select(C("item_id").alias("qid"), F.substring("text", 1, 40).alias("expected"))
+    cases = t.benchmark.select(C("item_id").alias("qid"), C("text").alias("expected"))
     found = cases.join(top, "qid", "left").join(t.documents.select(C("doc_id").alias("id"), "text"), "id", "left")
     return found.groupBy("qid").agg(F.min(F.when(C("text").contains(C("expected")), C("rank"))).alias("rank"))
 
@@ -212,16 +212,16 @@ def eval_summary(t):
     return hits(t).agg(F.count("*").alias("n"), F.round(F.avg(F.when(rank > 0, 1.0).otherwise(0.0)), 6).alias("hit_at_5"), F.round(F.avg(evaluation.reciprocal_rank(rank)), 6).alias("mrr"), F.round(F.avg(evaluation.ndcg_at(rank, 5)), 6).alias("ndcg"), F.round(F.avg("rank"), 6).alias("mean_rank"))
 
 
-@query("eval_forbidden", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON d.source = concat('src', item_id % 20) AND contains(lower(d.text), lower(substr(b.text, 1, 12)))")
+@query("eval_forbidden", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON d.source = concat('src', item_id % 20) AND contains(lower(d.text), lower(b.text))")
 def eval_forbidden(t):
-    b = t.benchmark.select("item_id", F.concat(F.lit("src"), (C("item_id") % 20).cast("string")).alias("source"), F.lower(F.substring("text", 1, 12)).alias("bad"))
+    b = t.benchmark.select("item_id", F.concat(F.lit("src"), (C("item_id") % 20).cast("string")).alias("source"), F.lower("text").alias("bad"))
     return t.documents.join(b, "source").where(F.lower("text").contains(C("bad"))).select("item_id", "doc_id")
 
 
-@query("eval_loose", f"WITH q AS (SELECT item_id, {duck_tokens('substr(text, 1, 200)')} AS q FROM benchmark), d AS (SELECT doc_id, {duck_tokens('substr(text, 1, 2000)')} AS d FROM documents), e AS (SELECT item_id, unnest(q) AS tok FROM q) SELECT item_id, doc_id FROM q JOIN d ON len(list_intersect(q, d)) >= greatest(1, CAST(floor(0.75 * len(q)) AS INT)) AND len(q) > 0")
+@query("eval_loose", f"WITH q AS (SELECT item_id, {duck_tokens('text')} AS q FROM benchmark), d AS (SELECT doc_id, {duck_tokens('text')} AS d FROM documents), e AS (SELECT item_id, unnest(q) AS tok FROM q) SELECT item_id, doc_id FROM q JOIN d ON len(list_intersect(q, d)) >= greatest(1, CAST(floor(0.75 * len(q)) AS INT)) AND len(q) > 0")
 def eval_loose(t):
-    q = t.benchmark.select("item_id", text.tokens(F.substring("text", 1, 200)).alias("q")).where("size(q) > 0")
-    d = t.documents.select("doc_id", text.tokens(F.substring("text", 1, 2000)).alias("d"))
+    q = t.benchmark.select("item_id", text.tokens(C("text")).alias("q")).where("size(q) > 0")
+    d = t.documents.select("doc_id", text.tokens(C("text")).alias("d"))
     need = F.greatest(F.lit(1), F.floor(0.75 * F.size("q")))
     shared = q.select("item_id", need.alias("need"), F.explode("q").alias("tok")).join(d.select("doc_id", F.explode("d").alias("tok")), "tok")
     return shared.groupBy("item_id", "doc_id", "need").agg(F.count("*").alias("n")).where("n >= need").select("item_id", "doc_id")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import fusion, joins, windows
+from palimpsest.functions.vector import cosine
+from palimpsest.operators import fusion, joins, retrieval, windows
 from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, NOW, OUTCOMES, atoms, audit, duck_jaccard, duck_tokens, edges, outcomes, now_
 from palimpsest.plans.registry import query
 
@@ -176,15 +177,27 @@ def topk_safety_cap(t):
 
 # -- sets and fusion
 
-LISTS = f"q AS (SELECT item_id, {duck_tokens('text')} AS q FROM benchmark WHERE item_id < 6), d AS (SELECT doc_id, source, {duck_tokens('text')} AS d FROM documents), s AS (SELECT item_id AS qid, doc_id AS id, round({duck_jaccard('q', 'd')}, 6) AS a, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q) END, 6) AS b FROM q, d), l AS (SELECT qid, id, 'jaccard' AS source, row_number() OVER (PARTITION BY qid ORDER BY a DESC, id) - 1 AS rank FROM s WHERE a > 0 UNION ALL SELECT qid, id, 'cover', row_number() OVER (PARTITION BY qid ORDER BY b DESC, id) - 1 FROM s WHERE b > 0), k AS (SELECT *, CASE source WHEN 'jaccard' THEN 0.9 ELSE 1.0 END AS weight FROM l WHERE rank < 30), den AS (SELECT qid, sum(weight) / 60 AS den FROM (SELECT DISTINCT qid, source, weight FROM k) GROUP BY qid), f AS (SELECT qid, id, sum(weight / (60 + rank)) AS s FROM k GROUP BY ALL)"
+LISTS = (
+    f"q AS (SELECT item_id, {duck_tokens('text')} AS q FROM benchmark), d AS (SELECT doc_id, source, {duck_tokens('text')} AS d FROM documents), "
+    f"s AS (SELECT item_id AS qid, doc_id AS id, round({duck_jaccard('q', 'd')}, 6) AS a, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q) END, 6) AS b FROM q, d), "
+    "v AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS c FROM embeddings a JOIN benchmark ON item_id = a.vec_id JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), "
+    "l AS (SELECT qid, id, 'jaccard' AS source, row_number() OVER (PARTITION BY qid ORDER BY a DESC, id) - 1 AS rank FROM s WHERE a > 0 UNION ALL SELECT qid, id, 'cover', row_number() OVER (PARTITION BY qid ORDER BY b DESC, id) - 1 FROM s WHERE b > 0 "
+    "UNION ALL SELECT qid, id, 'dense', row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) - 1 FROM v WHERE c > 0), "
+    "k AS (SELECT *, CASE source WHEN 'jaccard' THEN 0.9 ELSE 1.0 END AS weight FROM l WHERE rank < 30), den AS (SELECT qid, sum(weight) / 60 AS den FROM (SELECT DISTINCT qid, source, weight FROM k) GROUP BY qid), f AS (SELECT qid, id, sum(weight / (60 + rank)) AS s FROM k GROUP BY ALL)"
+)
 
 
 def ranked_lists(t):
-    q = t.benchmark.where("item_id < 6").select(F.col("item_id").alias("qid"), text.tokens(F.col("text")).alias("q"))
+    """qid, id, source, score, rank from 0: for every question two lists by shared tokens and one by vectors, which are
+    compared within the question's label."""
+    q = t.benchmark.select(F.col("item_id").alias("qid"), text.tokens(F.col("text")).alias("q"))
     d = t.documents.select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("d"))
-    s = q.join(d, F.arrays_overlap("q", "d")).select("qid", "id", F.round(text.jaccard(F.col("q"), F.col("d")), 6).alias("jaccard"), F.round(text.coverage(F.col("q"), F.col("d")), 6).alias("cover"))
+    shared = retrieval.shared_tokens(q, d)
+    s = shared.select("qid", "id", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6).alias("jaccard"), F.round(F.col("n") / F.col("nq"), 6).alias("cover"))
     both = s.select("qid", "id", F.explode(F.create_map(F.lit("jaccard"), "jaccard", F.lit("cover"), "cover")).alias("source", "score")).where("score > 0")
-    return joins.top_k(both, ["qid", "source"], [F.desc("score"), F.col("id")], 30).withColumn("rank", F.col("rank") - 1)
+    a = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("x"))
+    v = a.join(t.embeddings, "label").where("vec_id <> qid").select("qid", F.col("vec_id").alias("id"), F.lit("dense").alias("source"), F.round(cosine(F.col("x"), F.col("embedding")), 4).alias("score")).where("score > 0")
+    return joins.top_k(both.unionByName(v), ["qid", "source"], [F.desc("score"), F.col("id")], 30).withColumn("rank", F.col("rank") - 1)
 
 
 @query("set_rrf", f"WITH {LISTS} SELECT qid, id, round(least(100, greatest(0, 100 * s / den)), 2) AS score FROM f JOIN den USING (qid)")
@@ -244,9 +257,10 @@ def set_self_eval(t):
 
 @query("set_greedy_dedup")
 def set_greedy_dedup(t):
-    """Rank by length per source; keep what no kept one of the last 80 resembles (Jaccard over 0.8)."""
+    """The 200 longest of a source; keep what no kept one of the last 80 resembles (Jaccard over 0.8)."""
     d = t.documents.select(F.col("source").alias("qid"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), text.tokens(F.col("text")).alias("tokens"))
-    return fusion.greedy_dedup(d, 0.8, 80).select("qid", "id")
+    first = joins.top_k(d, ["qid"], [F.desc("score"), F.col("id")], 200).drop("rank")
+    return fusion.greedy_dedup(first, 0.8, 80).select("qid", "id")
 
 
 @query("topk_mmr")
@@ -260,4 +274,5 @@ def topk_mmr(t):
 @query("topk_budget")
 def topk_budget(t):
     d = t.documents.select(F.col("source").alias("qid"), F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("priority"), (F.col("doc_id") % 97).cast("double").alias("score"), F.col("n_chars").alias("tokens"))
-    return fusion.budget(d, 6000)
+    first = joins.top_k(d, ["qid"], [F.col("priority"), F.desc("score"), F.col("id")], 200).drop("rank")
+    return fusion.budget(first, 6000)
