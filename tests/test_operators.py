@@ -225,15 +225,76 @@ def test_time_expressions():
     assert at("2024-02-01T10:00:00+02:00") == datetime(2024, 2, 1, 8)
     assert at("7d") == at("1 week ago") == datetime(2025, 2, 26, 12, 30)
     assert at("3 hours ago") == datetime(2025, 3, 5, 9, 30)
-    assert at("yesterday") == datetime(2025, 3, 4) and at("last week") == datetime(2025, 2, 26)
-    assert at("monday") == datetime(2025, 3, 3) and at("wednesday") == datetime(2025, 2, 26)
+    assert at("yesterday") == datetime(2025, 3, 4) and at("last week") == datetime(2025, 2, 24)
+    assert at("monday") == datetime(2025, 3, 3) and at("wednesday") == datetime(2025, 3, 5) and at("last wednesday") == datetime(2025, 2, 26)
     assert at("soon") is None and at("") is None and at(None) is None
     assert intervals.parse_range("today", "yesterday", now) == (datetime(2025, 3, 4), datetime(2025, 3, 5))
     assert intervals.intent("what did we say yesterday?", now) == (datetime(2025, 3, 4), datetime(2025, 3, 5))
-    assert intervals.intent("what happened last week", now) == (datetime(2025, 2, 26), now)
+    assert intervals.intent("what happened last week", now) == (datetime(2025, 2, 24), datetime(2025, 3, 3))
+    assert intervals.span("this week", now) == (datetime(2025, 3, 3), datetime(2025, 3, 10))
+    assert intervals.span("last month", datetime(2025, 1, 31)) == (datetime(2024, 12, 1), datetime(2025, 1, 1))
+    assert intervals.span("this month", datetime(2024, 12, 31)) == (datetime(2024, 12, 1), datetime(2025, 1, 1))
+    assert intervals.span("last year", now) == (datetime(2024, 1, 1), datetime(2025, 1, 1))
+    assert at("1m") == datetime(2025, 2, 3, 12, 30) and at("1y") == datetime(2024, 3, 5, 12, 30) and at("2mo") == datetime(2025, 1, 4, 12, 30)
+    assert intervals.parse_range("last month", None, now) == (datetime(2025, 2, 1), datetime(2025, 3, 1))
     assert intervals.intent("no time", now) == (None, None)
 
 
 def test_complete_link(spark):
     p = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [1.0, 0.1]), (1, 3, [0.0, 1.0]), (2, 4, [1.0, 0.0])], "group long, id long, embedding array<double>")
     assert sorted(values(graph.complete_link(p, 0.9, 12))) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (2, 4, 0)]
+
+
+def test_negation_and_particles(spark):
+    from palimpsest.operators import governance
+
+    texts = ["use codex here", "this is not about codex", "it isn't codex at all", "not sure, but I should perhaps use codex", "not codex, but then codex again and well codex", ""]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string").select("k", governance.has_unnegated(F.col("t"), "codex").alias("m")).orderBy("k").collect()
+    assert [r["m"] for r in got] == [True, False, False, True, True, False]
+    words = ["크리스가", "회의", "서버에서는", "port", "파일"]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(words)], "k int, t string").select("k", governance.stem(F.col("t")).alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in got] == ["크리스", "회의", "서버", "port", "파일"]
+
+
+def test_diversity_keeps_all_and_moves_what_crowds(spark):
+    from palimpsest.operators import governance
+
+    sources = "aaaabbacda"
+    df = spark.createDataFrame([(1, k, s, k) for k, s in enumerate(sources, 1)], "qid int, id int, source string, rank int")
+    chosen, late = [], []
+    for k, s in enumerate(sources, 1):
+        (late if sources[:k].count(s) > 2 and len(chosen) < 5 else chosen).append(k)
+    got = [r["id"] for r in governance.diversified(df).orderBy("place").collect()]
+    assert got == chosen + late
+
+
+def test_rules_fold_into_one_score(spark):
+    from palimpsest.operators import governance
+
+    df = spark.createDataFrame([(1, 10.0, "x"), (2, 10.0, None)], "id int, score double, path string")
+    rules = (governance.Rule("named", "path = 'x'", 5.0), governance.Rule("lost", "path IS NULL", -3.0))
+    assert sorted(values(governance.governed(df, rules))) == [(1, 15.0, "x", ["named"]), (2, 7.0, None, ["lost"])]
+
+
+def test_chunks_by_heading_and_merged(spark):
+    from palimpsest.sources import chunks
+
+    long = "word " * 40
+    note = f"---\nid: 1\n---\nintro {long}\n# One\n{long}\n## Tiny\nx\n### Two\n{long * 4}\n#### deep\n{long}"
+    df = spark.createDataFrame([(1, note), (2, "short"), (3, None)], "id int, note string")
+    got = sorted(values(chunks.by_heading(df, "id", "note").select("id", "place", "section")))
+    assert got == [(1, 0, "intro"), (1, 1, "One"), (1, 2, "Two"), (2, 0, "full"), (3, 0, "full")]
+    merged = chunks.merged_sections(chunks.by_heading(df.where("id < 3"), "id", "note"), "id", 700, 1500)
+    assert [r["section"] for r in merged.where("id = 1").orderBy("place").collect()] == ["intro + One + Two"]
+
+
+def test_folds_keep_their_state_over_batches(spark):
+    from palimpsest.operators import state
+
+    df = spark.range(5000).selectExpr("id % 3 AS atom", "id AS event_id", "id % 2 = 0 AS success")
+    want = {}
+    for k in range(5000):
+        want[k % 3] = min(1.0, max(0.0, want.get(k % 3, 0.5) + (0.1 if k % 2 == 0 else -0.05)))
+    got = dict(values(state.utility(df)))
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    assert values(state.utility(df.limit(0))) == []
