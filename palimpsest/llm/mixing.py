@@ -28,6 +28,8 @@ POINT_BITS = 40
 #: The schedule is ranked in so many stretches for each shuffle partition.
 STRETCHES = 4
 CELLS = 1024
+#: Buckets of a stream for each shuffle partition: a document looks at all blocks of its bucket, so they are kept few.
+BUCKETS = 128
 SEED = 42
 
 
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     spark = session_of(docs)
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
-    bits = power_of_two(2 * shuffle_parts(spark))
+    bits = power_of_two(BUCKETS * shuffle_parts(spark))
     base = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("source_key"), word_count(F.col(text)).alias("size"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried")
     )
