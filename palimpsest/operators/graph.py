@@ -97,39 +97,28 @@ def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
 
 
 def capped_clusters(edges: DataFrame, most: int) -> DataFrame:
-    """node, cluster: strongest edges first, two clusters become one unless they would have more than `most` nodes.
-
-    Each connected component is one group, as no merge crosses components; label propagation of least ids finds them.
-    """
-    import pandas as pd
-
-    e = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w"))
-    both = cut(projection(e))
-    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("root", F.col("node")))
+    """node, cluster (its least node): strongest edges first, ties to smaller ends, two clusters become one unless they
+    would have more than `most` nodes. Edges (src, dst, w) lead from one node to another.
+
+    Two clusters whose best edge that still fits is the same one become one at once: edges before it at either end don't
+    fit any more, as clusters only grow, so taking edges one by one comes to the same. Each round settles all such pairs.
+    Runs jobs while the plan is built."""
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").where("src <> dst")
+    e = e.groupBy("src", "dst").agg(F.max("w").alias("w"))
+    e = cut(e)
+    left = e.where(F.lit(most) >= 2).select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b"))
+    nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("cluster"), F.lit(1).alias("size")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("m"))
-        new = cut(labels.join(near, "node").select("node", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved")))
-        labels = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            break
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-        size: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        for a, b, _ in rows.sort_values(["w", "src", "dst"], ascending=[False, True, True])[["src", "dst", "w"]].itertuples(index=False):
-            a, b = find(a), find(b)
-            if a != b and size.get(a, 1) + size.get(b, 1) <= most:
-                a, b = min(a, b), max(a, b)
-                parent[b], size[a] = a, size.get(a, 1) + size.get(b, 1)
-        return pd.DataFrame({"node": list(parent), "cluster": [find(x) for x in parent]})
-
-    return e.join(labels.select(F.col("node").alias("src"), "root"), "src").groupBy("root").applyInPandas(choose, "node long, cluster long")
+        ends = left.select("src", "dst", F.struct("w", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d")).alias("k"), F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("x"))
+        best = ends.groupBy(F.col("x.own").alias("own")).agg(F.max(F.struct("k", F.col("x.other").alias("other"))).alias("m")).select("own", "m.k", "m.other")
+        pairs = best.where("own < other").join(best.select(F.col("own").alias("other"), F.col("k").alias("back")), "other").where("k = back")
+        pairs = cut(pairs.select(F.col("own").alias("into"), F.col("other").alias("cluster")))
+        if not pairs.limit(1).count():
+            return nodes.select("node", "cluster")
+        moved = nodes.join(pairs, "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
+        nodes = cut(moved.join(moved.groupBy("cluster").agg(F.count("*").cast("int").alias("size")), "cluster").select("node", "cluster", "size"))
+        a, b = (nodes.select(F.col("node").alias(n), F.col("cluster").alias(c), F.col("size").alias(f"size_{c}")) for n, c in (("src", "a"), ("dst", "b")))
+        left = cut(left.select("src", "dst", "w").join(a, "src").join(b, "dst").where(f"a <> b AND size_a + size_b <= {most}").select("src", "dst", "w", "a", "b"))
 
 
 def complete_link(points: DataFrame, least: float, most: int) -> DataFrame:

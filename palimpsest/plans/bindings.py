@@ -58,12 +58,12 @@ AUDIT = "audit AS (SELECT event_id, ts, user_id AS session, event_type AS route,
 
 
 def edges(t: Tables) -> DataFrame:
-    """The entity graph: customers, and parts by size and brand, with how often they came together."""
+    """The entity graph: customers (their keys) and suppliers (their keys below zero), with how often and how much they dealt."""
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.groupBy((F.col("o_custkey") % 60).alias("src"), (F.col("l_partkey") % 80 + 1000).alias("dst")).agg(F.count("*").alias("n"), F.max("l_shipdate").alias("last")).withColumn("w", F.least(F.lit(1.0), F.col("n") / 40.0))
+    return lines.groupBy(F.col("o_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).agg(F.count("*").alias("n"), F.max("l_shipdate").alias("last"), F.least(F.lit(1.0), F.sum("l_quantity") / 100).alias("w"))
 
 
-EDGES = "edges AS (SELECT src, dst, n, last, least(1.0, CAST(n AS DOUBLE) / 40.0) AS w FROM (SELECT o_custkey % 60 AS src, l_partkey % 80 + 1000 AS dst, count(*) AS n, max(l_shipdate) AS last FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL))"
+EDGES = "edges AS (SELECT o_custkey AS src, -1 - l_suppkey AS dst, count(*) AS n, max(l_shipdate) AS last, least(1.0, sum(l_quantity) / 100) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
 
 
 def facts(t: Tables) -> DataFrame:

@@ -114,9 +114,9 @@ def join_two_hops(t):
     return joins.two_hops(edges(t), seeds).select("node", F.round("activation", 6).alias("activation"))
 
 
-@query("join_entity_search", f"WITH {EDGES} SELECT src AS node, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS degree, arg_max(dst, n * 10000 + dst) AS nearest FROM edges GROUP BY src ORDER BY mentions DESC, node LIMIT 20")
+@query("join_entity_search", f"WITH {EDGES} SELECT src AS node, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS degree, arg_max(dst, row(n, dst)) AS nearest FROM edges GROUP BY src ORDER BY mentions DESC, node LIMIT 20")
 def join_entity_search(t):
-    a = edges(t).groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("mentions"), F.count("*").alias("degree"), F.max_by("dst", F.col("n") * 10000 + F.col("dst")).alias("nearest"))
+    a = edges(t).groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("mentions"), F.count("*").alias("degree"), F.max_by("dst", F.struct("n", "dst")).alias("nearest"))
     return a.orderBy(F.desc("mentions"), "node").limit(20)
 
 
@@ -158,17 +158,19 @@ def join_conflicts(t):
     return a.join(b, "topic_key").where("a < b AND greatest(al, bl) <= 2 * least(al, bl)").where(j >= 0.05).select("a", "b", F.round(j, 6).alias("j"))
 
 
-@query("join_parallel_edges", f"WITH {EDGES} SELECT src % 20 AS src, dst % 30 AS dst, round(least(1.0, sum(w)), 6) AS w FROM edges GROUP BY ALL")
+@query("join_parallel_edges", f"WITH {EDGES} SELECT src - src % 2 AS src, dst, round(least(1.0, sum(w)), 6) AS w FROM edges GROUP BY src - src % 2, dst")
 def join_parallel_edges(t):
-    return edges(t).groupBy((F.col("src") % 20).alias("src"), (F.col("dst") % 30).alias("dst")).agg(F.round(F.least(F.lit(1.0), F.sum("w")), 6).alias("w"))
+    """An odd node is another name of the even one before it."""
+    return edges(t).groupBy((F.col("src") - F.col("src") % 2).alias("src"), "dst").agg(F.round(F.least(F.lit(1.0), F.sum("w")), 6).alias("w"))
 
 
-PART_EDGES = "e AS (SELECT a.l_partkey % 40 AS a, b.l_partkey % 40 AS b, CAST(count(*) AS DOUBLE) / 100 AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey % 40 < b.l_partkey % 40 GROUP BY ALL)"
+PART_EDGES = "e AS (SELECT a.l_partkey AS a, b.l_partkey AS b, least(1.0, sum(least(a.l_quantity, b.l_quantity)) / 100) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL)"
 
 
 def part_edges(t):
-    a = t.lineitem.select("l_orderkey", (F.col("l_partkey") % 40).alias("a"))
-    return a.join(a.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg((F.count("*").cast("double") / 100).alias("w"))
+    """Parts that stand in one order, with how much of both was taken; an order has a handful of lines."""
+    a = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("a"), F.col("l_quantity").alias("q"))
+    return a.join(a.toDF("l_orderkey", "b", "r"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.least(F.lit(1.0), F.sum(F.least("q", "r")) / 100).alias("w"))
 
 
 @query("join_triangles", f"WITH {PART_EDGES}, s AS (SELECT * FROM e WHERE w > 0.2) SELECT x.a, x.b, y.b AS c, round((x.w + y.w + z.w) / 3, 6) AS strength FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b ORDER BY (x.w + y.w + z.w) / 3 DESC, x.a, x.b, y.b LIMIT 10")

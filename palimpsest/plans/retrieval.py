@@ -74,9 +74,11 @@ def join_entity_merge(t):
     return a.join(b, "label").where("a < b").select("a", "b", F.round(cosine(C("x"), C("y")), 4).alias("c")).where("c >= 0.25")
 
 
-@query("join_graph_boost", f"WITH {EDGES}, n AS (SELECT DISTINCT dst % 200 AS id FROM edges WHERE src IN (1, 2)), a AS (SELECT doc_id AS id, CAST(n_chars AS DOUBLE) AS score FROM documents) SELECT a.id, round(CASE WHEN n.id IS NOT NULL THEN score * 1.15 ELSE score END, 4) AS score FROM a LEFT JOIN n ON a.id = n.id")
+@query("join_graph_boost", f"WITH {EDGES}, k AS (SELECT src, dst FROM edges WHERE w >= 0.45), n AS (SELECT DISTINCT y.src AS id FROM k x JOIN k y ON x.dst = y.dst WHERE x.src IN (1, 2)), a AS (SELECT doc_id AS id, CAST(n_chars AS DOUBLE) AS score FROM documents) SELECT a.id, round(CASE WHEN n.id IS NOT NULL THEN score * 1.15 ELSE score END, 4) AS score FROM a LEFT JOIN n ON a.id = n.id")
 def join_graph_boost(t):
-    n = edges(t).where("src IN (1, 2)").select((C("dst") % 200).alias("id")).distinct().withColumn("near", F.lit(True))
+    """A memory is the document of a customer's number; strong edges lead from the questions' entities to it in two steps."""
+    k = edges(t).where("w >= 0.45").select("src", "dst")
+    n = k.join(k.where("src IN (1, 2)").select("dst"), "dst", "left_semi").select(C("src").alias("id")).distinct().withColumn("near", F.lit(True))
     a = t.documents.select(C("doc_id").alias("id"), C("n_chars").cast("double").alias("score")).join(n, "id", "left")
     return a.select("id", F.round(F.when(C("near"), C("score") * 1.15).otherwise(C("score")), 4).alias("score"))
 

@@ -136,6 +136,21 @@ def test_communities_and_capped_clusters(spark):
     assert clusters[1] == clusters[2] == 1 and clusters[3] == clusters[4] == 3 and clusters[5] == clusters[6]
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_capped_clusters_against_edges_one_by_one(spark, most):
+    import random
+
+    rng = random.Random(most)
+    rows = [(a, b, rng.randint(1, 5) / 10) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.08] + [(3, 3, 0.9)]
+    own = {n: {n} for e in rows if e[0] != e[1] for n in e[:2]}
+    for a, b, _ in sorted(rows, key=lambda e: (-e[2], e[0], e[1])):
+        if own[a] is not own[b] and len(own[a]) + len(own[b]) <= most:
+            both = own[a] | own[b]
+            own |= {n: both for n in both}
+    got = dict(values(graph.capped_clusters(spark.createDataFrame(rows, "src long, dst long, w double"), most)))
+    assert got == {n: min(c) for n, c in own.items()}
+
+
 def test_window_join_equals_the_nested_loop(spark):
     a = spark.sql("SELECT id AS i, timestamp_seconds(id * 7 % 100) AS ta FROM range(30)")
     b = spark.sql("SELECT id AS j, timestamp_seconds(id * 13 % 100) AS tb FROM range(30)")
