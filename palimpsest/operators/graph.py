@@ -143,3 +143,55 @@ def complete_link(points: DataFrame, least: float, most: int) -> DataFrame:
 
     kind = points.schema["group"].dataType.simpleString()
     return points.groupBy("group").applyInPandas(choose, f"group {kind}, id long, cluster int")
+
+
+def summary_tree(points: DataFrame, levels: list[Column]) -> DataFrame:
+    """points (id, embedding, ...), a column of nodes for each level -> level (from 1), node, summary (the id of the member
+    nearest the members' mean, ties to the smaller), members. Means are taken place by place, so no node is gathered."""
+    from palimpsest.functions import vector
+
+    nodes = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), c.cast("long").alias("node")) for k, c in enumerate(levels, 1)]))
+    rows = points.select("id", "embedding", nodes.alias("n")).select("n.level", "n.node", "id", "embedding")
+    parts = rows.select("level", "node", F.posexplode("embedding").alias("i", "x")).groupBy("level", "node", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = parts.groupBy("level", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
+    near = F.struct(F.round(vector.cosine(F.col("embedding"), F.col("mean")), 5).alias("c"), (-F.col("id")).alias("k"))
+    return rows.join(means, ["level", "node"]).groupBy("level", "node").agg(F.max_by("id", near).alias("summary"), F.count("*").alias("members"))
+
+
+#: Points that spectral clustering takes at most, and how many clusters it looks for.
+MOST_SPECTRAL, CLUSTERS = 2000, (2, 12)
+
+
+def spectral(points: DataFrame) -> DataFrame:
+    """points (id, embedding), at most MOST_SPECTRAL of them -> id, cluster (the least id in it). Likeness is the cosine, where
+    positive; as many clusters as the greatest gap between eigenvalues of the normalised Laplacian says, found by k-means
+    on its first eigenvectors from far-apart rows. More points raise an error: their likeness would fill a task."""
+    import numpy as np
+    import pandas as pd
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > MOST_SPECTRAL:
+            raise ValueError(f"spectral clustering takes {MOST_SPECTRAL} points at most")
+        rows = rows.sort_values("id").reset_index(drop=True)
+        x = np.stack(rows["embedding"].to_list()).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        like = np.maximum(x @ x.T, 0)
+        root = 1 / np.sqrt(np.maximum(like.sum(axis=1), 1e-12))
+        values, vectors = np.linalg.eigh(np.eye(len(x)) - root[:, None] * like * root)
+        low, high = CLUSTERS[0], min(CLUSTERS[1], len(x) - 1)
+        k = low + int(np.argmax(np.diff(values)[low - 1 : high])) if high >= low else 1
+        u = vectors[:, :k] / np.maximum(np.linalg.norm(vectors[:, :k], axis=1, keepdims=True), 1e-12)
+        centre = u[:1]
+        while len(centre) < min(k, len(u)):
+            far = ((u[:, None] - centre) ** 2).sum(axis=2).min(axis=1)
+            centre = np.vstack([centre, u[int(np.argmax(far))]])
+        for _ in range(50):
+            own = ((u[:, None] - centre) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.stack([u[own == c].mean(axis=0) if (own == c).any() else centre[c] for c in range(len(centre))])
+            if np.allclose(new, centre):
+                break
+            centre = new
+        least = rows["id"].groupby(own).min()
+        return pd.DataFrame({"id": rows["id"], "cluster": least.loc[own].to_numpy()})
+
+    return points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "id long, cluster long")

@@ -85,3 +85,32 @@ def phrases(query: Column, most: int = 5, least: int = 10) -> Column:
     """A query's phrases: between punctuation, of some length, a few at most."""
     parts = F.transform(F.split(query, r"[,.;:!?\n]+"), lambda p: F.trim(p))
     return F.slice(F.filter(parts, lambda p: F.length(p) >= least), 1, most)
+
+
+def iterative(questions: DataFrame, recall, expand, enough: float) -> DataFrame:
+    """qid, id, score, k, hop: the answers of recall(questions), and for questions whose best score is under `enough` those of
+    a second try, recall(expand(questions, answers)), where it does better. One pass over all questions for each try."""
+    first = recall(questions)
+    sure = first.groupBy("qid").agg(F.max("score").alias("c"))
+    again = expand(questions.join(sure.where(F.col("c") < enough), "qid", "left_semi"), first)
+    second = recall(again)
+    better = second.groupBy("qid").agg(F.max("score").alias("c2")).join(sure, "qid").where("c2 > c").select("qid")
+    return first.join(better, "qid", "left_anti").withColumn("hop", F.lit(1)).unionByName(second.join(better, "qid", "left_semi").withColumn("hop", F.lit(2)))
+
+
+#: What is told of a question: name and pattern of each sign, on the text in small letters.
+SIGNS = (
+    ("numbers", r"[0-9]"),
+    ("question", r"\?\s*$|^\s*(who|what|when|where|why|how)\b"),
+    ("temporal", r"\b(today|yesterday|tomorrow|now|since|last|next)\b"),
+    ("negated", r"\b(not|no|never|without)\b"),
+    ("quoted", r"[\"“][^\"”]+[\"”]"),
+)
+
+
+def analysis(question: Column) -> Column:
+    """Length, words, script and signs of a question, as one struct."""
+    low, hangul, latin = F.lower(question), question.rlike("[가-힣]"), question.rlike("[A-Za-z]")
+    script = F.when(hangul & latin, "mixed").when(hangul, "hangul").when(latin, "latin").otherwise("none")
+    words = F.size(F.regexp_extract_all(low, F.lit(r"([a-z0-9_\-]{2,}|[가-힣]{2,})"), F.lit(1)))
+    return F.struct(F.length(question).cast("long").alias("chars"), words.cast("long").alias("words"), script.alias("script"), *[low.rlike(p).alias(n) for n, p in SIGNS])

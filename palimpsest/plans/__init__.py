@@ -1,6 +1,6 @@
 """Registered queries of the engine."""
 
-from palimpsest.plans import aggregates, governance, joins, lifecycle, ranking, records, retrieval, scalars, sources, windows  # noqa: F401
+from palimpsest.plans import aggregates, governance, joins, lifecycle, ranking, recall, records, retrieval, scalars, sources, windows  # noqa: F401
 from palimpsest.plans.registry import ORACLES, QUERIES
 
 

@@ -78,9 +78,12 @@ def src_workflow_segments(t):
     return s.groupBy("user_id", "segment").agg(F.min("event_type").alias("kind"), F.count("*").alias("n"))
 
 
-@query("src_visits", "SELECT domain, count(*) AS n FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS domain FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') FROM pages WHERE page_id % 2 = 1) WHERE NOT regexp_matches(domain, '^m\\.') GROUP BY domain")
+@query("src_visits", "WITH u AS (SELECT url FROM pages UNION ALL SELECT 'https://user@www.' || s_name || '.example.org:8080/' || s_suppkey AS url FROM supplier UNION ALL SELECT 'http://m.' || c_mktsegment || '.example.net?x' FROM customer), d AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS domain FROM u) SELECT domain, count(*) AS n FROM d WHERE NOT regexp_matches(domain, '^m\\.') GROUP BY domain")
 def src_visits(t):
-    visits = t.pages.where("page_id % 2 = 0").select("url").unionByName(t.pages.where("page_id % 2 = 1").select("url"))
+    """Three histories: pages, and addresses made of suppliers and of customers' segments."""
+    supplier = t.supplier.select(F.concat(F.lit("https://user@www."), "s_name", F.lit(".example.org:8080/"), C("s_suppkey").cast("string")).alias("url"))
+    segment = t.customer.select(F.concat(F.lit("http://m."), "c_mktsegment", F.lit(".example.net?x")).alias("url"))
+    visits = t.pages.select("url").unionByName(supplier).unionByName(segment)
     d = visits.select(text.domain(C("url")).alias("domain")).where(~C("domain").rlike(r"^m\."))
     return d.groupBy("domain").agg(F.count("*").alias("n"))
 
@@ -169,9 +172,12 @@ def stream_sessions(t):
     return streams.session_counts(metric_events(t)).select("session", C("start").cast("double").alias("start"), "n")
 
 
-@query("stream_high_watermark", f"WITH {AUDIT} SELECT event_id FROM audit WHERE event_id > 9000 AND outcome IS NOT NULL")
+@query("stream_high_watermark", f"WITH {AUDIT}, m AS (SELECT route, max(ts) AS mark FROM audit WHERE outcome = 'ignored' AND session % 2 = 0 GROUP BY route) SELECT event_id FROM audit LEFT JOIN m USING (route) WHERE outcome IS NOT NULL AND (mark IS NULL OR ts > mark)")
 def stream_high_watermark(t):
-    return audit(t).where("event_id > 9000 AND outcome IS NOT NULL").select("event_id")
+    """What came after the mark that the last run left for its route; where no run left one, all."""
+    a = audit(t)
+    marks = a.where("outcome = 'ignored' AND session % 2 = 0").groupBy("route").agg(F.max("ts").alias("mark"))
+    return a.where("outcome IS NOT NULL").join(marks, "route", "left").where("mark IS NULL OR ts > mark").select("event_id")
 
 
 @query("stream_cooldown", f"WITH {AUDIT} SELECT event_id FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session, route ORDER BY ts, event_id) AS d FROM audit) WHERE d IS NULL OR d >= 7200 * CAST(1000000 AS BIGINT)")
