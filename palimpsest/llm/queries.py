@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import html, langid, licenses, media, mixing, packing, secrets, simhash, substring, topk
+from palimpsest.llm import divergence, html, langid, licenses, media, mixing, packing, secrets, simhash, substring, topk, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.array_join(told, ",").alias("pieces"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_of(warc.read(spark, warc.write(table(spark, sf_dir, "pages")), payloads=False))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_pack": op1_pack,
@@ -74,11 +86,15 @@ def queries() -> dict:
         "op8_licenses": op8_licenses,
         "op9_topk": op9_topk,
         "op10_mix": op10_mix,
+        "op11_warc": op11_warc,
+        "op12_divergence": op12_divergence,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """The exact top-k is plain SQL, in its brute-force form; the others are tested against brute-force code."""
+    """The exact top-k, archives' digests and the divergence audit are plain SQL, in brute-force form; the others are tested
+    against brute-force code."""
     return {
         "op9_topk": """
             WITH v AS (
@@ -94,4 +110,37 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
         """,
+        "op11_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (
+                SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s, first_value(page_id) OVER w AS top, row_number() OVER w AS k
+                FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST)
+            )
+            SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+                array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    CAST(1 + ((CAST('0x' || substr(s, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+                CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+            FROM d
+        """,
+        "op12_divergence": r"""
+            WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+            terms AS (
+                SELECT d, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs
+            ),
+            kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+            langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS total FROM kept GROUP BY lang),
+            own AS (SELECT t.lang, t.source, t.term, CAST(count(*) AS HUGEINT) AS n FROM terms t JOIN kept USING (lang, term) GROUP BY ALL),
+            totals AS (SELECT g.lang, g.source, CAST(coalesce(sum(o.n), 0) AS HUGEINT) AS total FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN own o USING (lang, source) GROUP BY ALL),
+            p AS (
+                SELECT s.lang, s.source, k.term, coalesce(o.n, 0) AS n, 1 + (1000000000 * (coalesce(o.n, 0) + 5)) // (s.total + 5 * l.v) AS p, 1 + (1000000000 * (k.n + 5)) // (l.total + 5 * l.v) AS q
+                FROM totals s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN own o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term
+            ),
+            sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+            pairs AS (
+                SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+                FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            ),
+            told AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM told)
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+        """,
     }
