@@ -3,38 +3,43 @@
 A text is a bag of hashed character n-grams (one to three letters, with word ends), weighted by TF-IDF and normalised to
 length 1. Each language has a few centroids, found by spherical k-means over its labelled texts. A text gets the language
 of the centroid with the highest cosine; it is rejected if even that one is further off than the language's own texts
-ever are, with a margin.
+ever are, with a margin. A cosine is judged by what a text of as few n-grams can reach, so a word alone isn't far off.
 
-What is fitted (document frequencies, centroids, margins) comes from a bounded sample: about `per_language` labelled rows of
-each language, chosen by a hash of their id. Counting labels, choosing the sample and predicting cover all rows.
+What is fitted (document frequencies, centroids, margins) comes from a bounded sample: up to `per_language` different
+labelled texts of each language, those whose hash is least, and MOST_ROWS in all. Choosing the sample and predicting cover
+all rows; ids have no say in either, beyond who is held out.
 
 Nulls and odd cases: a null text, or one without any letter, is `und` with score 0 and rejected; rows without a language
-teach nothing; with no labelled row at all, everything is `und`; repeated rows count as often as they come; an empty
-table gives no rows; other columns of the input are not read.
+teach nothing; with no labelled row to learn from, everything is `und` and, if it has a letter, kept; repeated texts count
+as often as they come; rows without an id, or with one
+id, are rows like any; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import give_back, staged
 
 DIMENSIONS = 2048
 CENTROIDS = 4
-#: Labelled rows of each language that the model is fitted on, on average at most.
+#: Different labelled texts of each language that the model is fitted on, at most; in all languages together; and labels.
 PER_LANGUAGE = 1200
+MOST_ROWS = 12_000
+MOST_LABELS = 2_000
 ROUNDS = 12
-#: With more different labels than this, their counts are joined by a shuffle instead of a broadcast.
-LABELS_AT_ONCE = 50_000
 #: A text is rejected if its cosine is below this part of the lowest that any fitted text of the language has.
 MARGIN = 0.4
+#: A text of fewer different n-grams than this is judged by its cosine over what so few can reach.
+GRAMS = 64
 UNDETERMINED = "und"
 ROWS_AT_ONCE = 256
 CHARS_AT_ONCE = 500_000
@@ -95,20 +100,25 @@ class Model:
         """language, score and rejection of each text."""
         counts, has = gram_counts([t or "" for t in texts])
         if not len(self.of):
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), ~has
         near = self.vectors(counts) @ self.centroids.T
         best = near.argmax(axis=1) if len(texts) else np.zeros(0, dtype=int)
         score = np.where(has, np.clip(near[np.arange(len(texts)), best], 0, 1), 0).astype(float)
-        far = score < self.floors[self.of[best]]
+        far = score < self.floors[self.of[best]] * reach(counts)
         return [self.languages[self.of[b]] if h else UNDETERMINED for b, h in zip(best.tolist(), has.tolist(), strict=True)], score, far | ~has
 
 
+def reach(counts: np.ndarray) -> np.ndarray:
+    """Few n-grams can't have a high cosine with a centroid of thousands: it grows as the root of their number."""
+    return np.sqrt(np.minimum(1, np.maximum(1, (counts > 0).sum(axis=1)) / GRAMS))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def clustered(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means: each next first centroid is the row least like those chosen before."""
+def clustered(x: np.ndarray, weights: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Spherical k-means of weighted rows: each next first centroid is the row least like those chosen before."""
     chosen = [0]
     nearest = x @ x[0]
     while len(chosen) < min(k, len(x)):
@@ -117,21 +127,26 @@ def clustered(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     centroids = x[chosen]
     for _ in range(rounds):
         own = (x @ centroids.T).argmax(axis=1)
-        centroids = unit(np.stack([x[own == c].sum(axis=0) if (own == c).any() else centroids[c] for c in range(len(centroids))]))
+        centroids = unit(np.stack([weights[own == c] @ x[own == c] if (own == c).any() else centroids[c] for c in range(len(centroids))]))
     return centroids
 
 
-def fit(languages: list[str], counts: np.ndarray, centroids: int = CENTROIDS, margin: float = MARGIN) -> Model:
-    """languages, counts: of the labelled rows, in an order that doesn't depend on the run."""
+def fit(languages: list[str], counts: np.ndarray, centroids: int = CENTROIDS, margin: float = MARGIN, weights: np.ndarray | None = None) -> Model:
+    """languages, counts, weights (how many rows have the text): of labelled texts, in an order that doesn't depend on the
+    run."""
+    weights = np.ones(len(languages), dtype=np.float32) if weights is None else weights.astype(np.float32)
     names = sorted(set(languages))
     if not names:
         return Model([], np.ones(DIMENSIONS, dtype=np.float32), np.zeros((0, DIMENSIONS), dtype=np.float32), np.zeros(0, dtype=int), np.zeros(0))
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = (np.log((1 + weights.sum()) / (1 + weights @ (counts > 0))) + 1).astype(np.float32)
     model, labels = Model(names, idf, np.zeros((0, counts.shape[1]), dtype=np.float32), np.zeros(0, dtype=int), np.zeros(len(names))), np.array(languages)
-    vectors = model.vectors(counts)
-    found = [clustered(vectors[labels == name], centroids) for name in names]
+    found = []
+    for k, name in enumerate(names):  # a language at a time, to hold few vectors at once
+        rows = counts[labels == name]
+        own = model.vectors(rows)
+        found.append(clustered(own, weights[labels == name], centroids))
+        model.floors[k] = margin * ((own @ found[-1].T).max(axis=1) / reach(rows)).min()
     model.centroids, model.of = np.concatenate(found), np.repeat(np.arange(len(names)), [len(f) for f in found])
-    model.floors = np.array([margin * (vectors[labels == name] @ f.T).max(axis=1).min() for name, f in zip(names, found, strict=True)])
     return model
 
 
@@ -139,28 +154,44 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on labelled rows that are not held out. The driver gets about `per_language` rows of counts a language."""
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang, key, rows, text: of each language the `per_language` different texts of least hash, of labelled rows that are not
+    held out; fewer if that is more than MOST_ROWS in all, and of more than MOST_LABELS labels those with most rows; rows:
+    how many have the text. Neither ids nor copies of a text have a say in what is drawn."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(doc_id)), F.lit(False)))
-    sizes = staged(labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_rows")), "language-labels")
-    if not (labels := sizes.count()):
-        return fit([], np.zeros((0, DIMENSIONS)))
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_rows"))
-    counted = labelled.join(F.broadcast(sizes) if labels <= LABELS_AT_ONCE else sizes, F.col(lang) == F.col("_lang"))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
-    sample = counted.where(drawn < share).select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
+    labelled = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.lit("sample"), F.col(text)).alias("key"), F.col(text).alias("text"))
+    keys = labelled.groupBy("lang", "key").agg(F.count("*").alias("rows"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    least = staged(keys.withColumn("rank", rank).where(F.col("rank") <= per_language), "language-keys")
+    labels = least.where("rank = 1").count()
+    if labels > MOST_LABELS:
+        sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LABELS).select("lang")
+        least, labels = least.join(sizes, "lang", "left_semi"), MOST_LABELS
+    least = least.where(F.col("rank") <= max(1, MOST_ROWS // max(1, labels))).select("lang", "key", "rows")
+    return labelled.join(F.broadcast(least), ["lang", "key"]).groupBy("lang", "key", "rows").agg(F.first("text").alias("text"))
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    """Fit on a sample of labelled rows. The driver gets their n-gram counts, compressed: MOST_ROWS rows at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
                 counts, has = gram_counts(part["text"].to_pylist())
-                packed = [c.astype("<f4").tobytes() if h else b"" for c, h in zip(counts, has, strict=True)]
-                yield pa.RecordBatch.from_arrays([part["lang"], part["key"], pa.array(packed, pa.binary())], names=["lang", "key", "counts"])
+                packed = [zlib.compress(c.astype("<f4").tobytes(), 1) if h else None for c, h in zip(counts, has, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["lang"], part["key"], part["rows"], pa.array(packed, pa.binary())], names=["lang", "key", "rows", "counts"])
+        give_back()
 
-    rows = sorted((r["lang"], r["key"], bytes(r["counts"])) for r in sample.mapInArrow(work, "lang string, key long, counts binary").collect() if r["counts"])
-    counts = np.stack([np.frombuffer(c, dtype="<f4") for _, _, c in rows]).astype(np.float32) if rows else np.zeros((0, DIMENSIONS), dtype=np.float32)
-    return fit([name for name, _, _ in rows], counts)
+    found = sample(docs, doc_id, text, lang, per_language).mapInArrow(work, "lang string, key long, rows long, counts binary").where("counts is not null")
+    rows = sorted(((r["lang"], r["key"], r["rows"], bytes(r["counts"])) for r in found.collect()), key=lambda r: r[:2])
+    counts = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
+    for k, (*_, packed) in enumerate(rows):
+        counts[k] = np.frombuffer(zlib.decompress(packed), dtype="<f4")
+    model = fit([r[0] for r in rows], counts, weights=np.array([r[2] for r in rows], dtype=float))
+    del counts, rows
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:

@@ -107,11 +107,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     spark = session_of(docs)
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
     bits = power_of_two(BUCKETS * shuffle_parts(spark))
+    carried = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")])
     base = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("source_key"), word_count(F.col(text)).alias("size"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried")
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("source_key"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text), carried).alias("mark"), carried.alias("carried")
     )
     sized = base if carry else staged(base, "mix-sizes")
-    sized = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", hash_bucket(F.col("h"), bits))
+    sized = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "mark")).withColumn("bucket", hash_bucket(F.col("h"), bits))
     narrow = staged(sized.select("source_key", "source", "size", "bucket").groupBy("source_key", "bucket").agg(F.max("source").alias("source"), F.sum("size").alias("size")), "mix-buckets")
     targets = staged(source_targets(narrow, weights, share, cap), "mix-targets")
     slots = schedule(targets, block_words)
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     blocks = again.select("source_key", "bucket", "pass", F.explode(ranks).alias("rank")).join(slots, ["source_key", "rank"])
     dealt = blocks.groupBy("source_key", "bucket").agg(F.sort_array(F.collect_list(F.struct("rank", "pass", "slot", "words"))).alias("dealt"))
     starts = staged(starts.join(dealt, ["source_key", "bucket"], "left").drop("wide"), "mix-dealt")
-    within = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts.hint("merge"), ["source_key", "bucket"])
     placed = placed.withColumn("start", F.col("start") + F.col("before"))
 

@@ -130,6 +130,36 @@ def test_language_of_odd_rows(odd, empty):
     assert rows(langid.identify(empty, model, ("doc_id",))) == []
 
 
+def test_without_a_row_to_learn_from_nothing_is_lost(docs):
+    given = docs.withColumn("doc_id", docs["doc_id"] * 0 + 7)  # an id that is held out
+    got = rows(langid.identify(given, langid.train(given), ("text",)))
+    assert all(r["lang_pred"] == langid.UNDETERMINED and r["rejected"] == (not any(c.isalpha() for c in r["text"] or "")) for r in got)
+
+
+@pytest.mark.parametrize("doc_id", ["cast(null AS long)", "cast(44 AS long)"])
+def test_language_with_one_id_or_none(spark, docs, doc_id):
+    """Ids that repeat or lack are no reason to learn less: all languages are known, and as well as ever."""
+    given = docs.withColumn("doc_id", __import__("pyspark.sql.functions", fromlist=["expr"]).expr(doc_id))
+    model = langid.train(given)
+    assert set(model.languages) == {r[0] for r in docs.select("lang").distinct().collect() if r[0]}
+    got = rows(langid.identify(given, model, ("lang",)))
+    assert len(got) == docs.count()
+    clean = [r for r in got if r["lang"] and r["lang_pred"] != langid.UNDETERMINED]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in clean]) > 0.97 and sum(r["rejected"] for r in clean) <= 0.02 * len(clean)
+
+
+def test_the_sample_is_bounded_and_copies_teach_once(spark, monkeypatch):
+    rows_ = [(None, f"some text number {k % 40} of {k % 3}", f"l{k % 3}") for k in range(3000)] + [(k, f"dirty {k}", f"label{k}") for k in range(300)]
+    given = spark.createDataFrame(rows_, "doc_id long, text string, lang string").repartition(6)
+    assert langid.sample(given, per_language=10).where("lang = 'l1'").count() == 10
+    assert langid.sample(given).where("lang in ('l0', 'l1', 'l2')").count() == 120
+    monkeypatch.setattr(langid, "MOST_LABELS", 5)
+    monkeypatch.setattr(langid, "MOST_ROWS", 20)
+    drawn = [tuple(r) for r in langid.sample(given).select("lang", "text").collect()]
+    assert len(drawn) <= 20 and {"l0", "l1", "l2"} <= {lang for lang, _ in drawn}
+    assert sorted(drawn) == sorted(tuple(r) for r in langid.sample(given.repartition(3)).select("lang", "text").collect())
+
+
 def test_language_against_plain_code():
     """TF-IDF vectors, cosine with every centroid, and rejection, gram by gram."""
     texts = ["the cat and the hat", "der Hund und die Katze", "el perro y la gata", "The DOG.", "zzz qqq 11"]

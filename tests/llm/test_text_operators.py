@@ -351,3 +351,11 @@ def test_queries_return_their_columns(spark, name, columns):
     if name == "op2_substring":
         empty = hashlib.sha256(b"").hexdigest()
         assert all(r["kept_sha256"] == empty for r in rows(df) if r["n_words"] == r["n_removed"])
+
+
+@pytest.mark.parametrize("doc_id", ["cast(null AS long)", "cast(3 AS long)"])
+def test_the_mix_does_not_depend_on_where_rows_lie(spark, doc_id):
+    """Rows without ids, or with one, that have as many words each: two partitionings give one mix."""
+    given = spark.range(300).selectExpr(f"{doc_id} AS doc_id", "concat('w', id, ' and other ', id % 7, repeat(' more', id % 2)) AS text", "concat('s', id % 3) AS source", "id AS own")
+    told = lambda df: Counter((r["carried"]["own"], r["taken"], tuple(map(tuple, r["pieces"]))) for r in mixing.mix(df, carry=("text", "own"), block_words=16).collect())
+    assert told(given.repartition(2)) == told(given.repartition(7, "own"))
