@@ -3,7 +3,7 @@
 A text is a bag of hashed character n-grams (one to three letters, with word ends), weighted by TF-IDF and normalised to
 length 1. Each language has a few centroids, found by spherical k-means over its labelled texts. A text gets the language
 of the centroid with the highest cosine; it is rejected if even that one is further off than the language's own texts
-ever are, with a margin. A cosine is judged by what a text of as few n-grams can reach, so a word alone isn't far off.
+ever are, with a margin.
 
 What is fitted (document frequencies, centroids, margins) comes from a bounded sample: up to `per_language` different
 labelled texts of each language, those whose hash is least, and MOST_ROWS in all. Choosing the sample and predicting cover
@@ -38,8 +38,6 @@ MOST_LABELS = 2_000
 ROUNDS = 12
 #: A text is rejected if its cosine is below this part of the lowest that any fitted text of the language has.
 MARGIN = 0.4
-#: A text of fewer different n-grams than this is judged by its cosine over what so few can reach.
-GRAMS = 64
 UNDETERMINED = "und"
 ROWS_AT_ONCE = 256
 CHARS_AT_ONCE = 500_000
@@ -104,15 +102,10 @@ class Model:
         near = self.vectors(counts) @ self.centroids.T
         best = near.argmax(axis=1) if len(texts) else np.zeros(0, dtype=int)
         score = np.where(has, np.clip(near[np.arange(len(texts)), best], 0, 1), 0).astype(float)
-        far = score < self.floors[self.of[best]] * reach(counts)
+        far = score < self.floors[self.of[best]]
         return [self.languages[self.of[b]] if h else UNDETERMINED for b, h in zip(best.tolist(), has.tolist(), strict=True)], score, far | ~has
 
 
-def reach(counts: np.ndarray) -> np.ndarray:
-    """Few n-grams can't have a high cosine with a centroid of thousands: it grows as the root of their number."""
-    return np.sqrt(np.minimum(1, np.maximum(1, (counts > 0).sum(axis=1)) / GRAMS))
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
@@ -142,10 +135,9 @@ def fit(languages: list[str], counts: np.ndarray, centroids: int = CENTROIDS, ma
     model, labels = Model(names, idf, np.zeros((0, counts.shape[1]), dtype=np.float32), np.zeros(0, dtype=int), np.zeros(len(names))), np.array(languages)
     found = []
     for k, name in enumerate(names):  # a language at a time, to hold few vectors at once
-        rows = counts[labels == name]
-        own = model.vectors(rows)
+        own = model.vectors(counts[labels == name])
         found.append(clustered(own, weights[labels == name], centroids))
-        model.floors[k] = margin * ((own @ found[-1].T).max(axis=1) / reach(rows)).min()
+        model.floors[k] = margin * (own @ found[-1].T).max(axis=1).min()
     model.centroids, model.of = np.concatenate(found), np.repeat(np.arange(len(names)), [len(f) for f in found])
     return model
 
@@ -159,7 +151,7 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     held out; fewer if that is more than MOST_ROWS in all, and of more than MOST_LABELS labels those with most rows; rows:
     how many have the text. Neither ids nor copies of a text have a say in what is drawn."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(doc_id)), F.lit(False)))
-    labelled = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.lit("sample"), F.col(text)).alias("key"), F.col(text).alias("text"))
+    labelled = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     keys = labelled.groupBy("lang", "key").agg(F.count("*").alias("rows"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     least = staged(keys.withColumn("rank", rank).where(F.col("rank") <= per_language), "language-keys")
