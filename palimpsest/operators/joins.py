@@ -25,11 +25,21 @@ def top_k(candidates: DataFrame, by: list[str], order: list[Column], k: int, ran
     return candidates.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def each_with_each(queries: DataFrame, points: DataFrame, parts: int = 8) -> DataFrame:
-    """Every row of a stated set of queries with every row of points, in blocks: queries are dealt into parts by a hash,
-    points are sent to each part, and the two meet by an equi-join, so neither side has to fit in one place."""
-    dealt = queries.withColumn("_part", F.pmod(F.xxhash64(*queries.columns), F.lit(parts)))
-    return dealt.join(points.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), "_part").drop("_part")
+#: Queries of a stated set that meet a block of points at once.
+QUERIES_AT_ONCE = 2048
+
+
+def each_with_each(queries: DataFrame, points: DataFrame, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
+    """Every row of a stated set of queries with every row of points, in blocks: points are dealt to as many blocks as there
+    are shuffle partitions, which grow with the data, and queries to parts of about `at_once`; each part meets each block
+    in an equi-join, so neither side has to fit in one place and points are sent once for all of a part's queries. Counts
+    the queries while the plan is built."""
+    blocks = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    parts = max(1, -(-queries.count() // at_once))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("_part", F.pmod(F.xxhash64(*queries.columns), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
+    dealt = points.withColumn("_block", F.pmod(F.xxhash64(*points.columns), F.lit(blocks)).cast("int")).withColumn("_part", every(parts))
+    return asked.join(dealt, ["_part", "_block"]).drop("_part", "_block")
 
 
 def nearest_vectors(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -175,19 +175,20 @@ def breaker(events: DataFrame, failures: int, rest: int) -> DataFrame:
 
 
 class Valence(Fold):
-    """A running mean, rounded at each step."""
+    """A running mean in whole numbers of 1e-4, rounded at each step, halves to the even one."""
 
     def __init__(self):
-        self.mean, self.n = 0.0, 0
+        self.mean, self.n = 0, 0
 
     def row(self, event_id, delta) -> list[tuple]:
-        delta = min(1.0, max(-1.0, delta))
-        self.mean = round((self.mean * self.n + delta) / (self.n + 1), 4)
+        units = round(min(1.0, max(-1.0, delta)) * 10_000)
         self.n += 1
+        self.mean, rest = divmod(self.mean * (self.n - 1) + units, self.n)
+        self.mean += 2 * rest > self.n or (2 * rest == self.n and self.mean % 2 == 1)
         return []
 
     def end(self) -> list[tuple]:
-        return [(self.mean, self.n)]
+        return [(self.mean / 10_000, self.n)]
 
 
 def valence(events: DataFrame) -> DataFrame:

@@ -65,10 +65,24 @@ def state_auto_resolve(t):
     return w.select("atom", F.when(settled, F.when(C("yes") > C("no"), "keep_new").otherwise("keep_old")).otherwise("pending").alias("action"))
 
 
-@query("state_valence", "WITH RECURSIVE e AS (SELECT user_id AS atom, CASE event_type WHEN 'error' THEN -1.0 WHEN 'purchase' THEN 1.0 ELSE 0.25 END AS delta, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT atom, k, CAST(round(delta, 4) AS DOUBLE) AS v FROM e WHERE k = 1 UNION ALL SELECT f.atom, e.k, CAST(round((f.v * f.k + e.delta) / (f.k + 1), 4) AS DOUBLE) FROM f JOIN e ON e.atom = f.atom AND e.k = f.k + 1) SELECT atom, CAST(round(arg_max(v, k), 3) AS DOUBLE) AS valence, max(k) AS events FROM f GROUP BY atom")
+VALENCE = """
+WITH RECURSIVE e AS (
+    SELECT user_id AS atom, CASE event_type WHEN 'error' THEN -10000 WHEN 'purchase' THEN 10000 ELSE 2500 END AS delta, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events
+), f AS (
+    SELECT atom, k, CAST(delta AS BIGINT) AS v FROM e WHERE k = 1
+    UNION ALL
+    SELECT atom, k, q + CASE WHEN 2 * r > k OR (2 * r = k AND q % 2 <> 0) THEN 1 ELSE 0 END FROM (
+        SELECT atom, k, r, (x - r) // k AS q FROM (SELECT atom, k, x, (x % k + k) % k AS r FROM (SELECT f.atom, e.k, f.v * f.k + e.delta AS x FROM f JOIN e ON e.atom = f.atom AND e.k = f.k + 1))
+    )
+)
+SELECT atom, arg_max(v, k) / 10000 AS valence, max(k) AS events FROM f GROUP BY atom
+"""
+
+
+@query("state_valence", VALENCE)
 def state_valence(t):
     e = t.events.select(C("user_id").alias("atom"), "event_id", F.when(C("event_type") == "error", -1.0).when(C("event_type") == "purchase", 1.0).otherwise(0.25).alias("delta"))
-    return state.valence(e).select("atom", F.round("valence", 3).alias("valence"), "events")
+    return state.valence(e)
 
 
 # -- lists of records
