@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import give_back, staged
+from palimpsest.llm.common import SALTS, give_back, staged
 
 DIMENSIONS = 2048
 CENTROIDS = 4
@@ -153,8 +153,9 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(doc_id)), F.lit(False)))
     labelled = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     keys = labelled.groupBy("lang", "key").agg(F.count("*").alias("rows"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    least = staged(keys.withColumn("rank", rank).where(F.col("rank") <= per_language), "language-keys")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("key"))
+    first = keys.withColumn("salt", F.pmod("key", F.lit(SALTS))).withColumn("rank", rank("salt")).where(F.col("rank") <= per_language)  # so that a language is many tasks
+    least = staged(first.drop("salt").withColumn("rank", rank()).where(F.col("rank") <= per_language), "language-keys")
     labels = least.where("rank = 1").count()
     if labels > MOST_LABELS:
         sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LABELS).select("lang")
