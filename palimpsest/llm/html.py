@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree. Elements that can't be content by what they are (menus, headers, footers, sidebars, forms,
-scripts, styles, hidden parts) are cut out by name and role; containers whose class or id says outright that they hold
+A page is read into a tree. Elements that can't be content by what they are (menus, footers, controls, scripts, styles,
+hidden parts) are cut out by name and role; headers outside of articles, sidebars and forms are, unless they hold most of
+the page's text; containers whose class or id says outright that they hold
 adverts, notices, comments and the like are too, but never headings, paragraphs or a container with most of the text.
 Every node left has a density: its characters per tag, adjusted by how much of both are links. A node's density sum is
 that of its children's densities. The node with the greatest sum is the core; the least density on the path from it to
@@ -34,8 +35,11 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea noscript iframe xmp noembed noframes template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
-CUT_NAMES = set("nav header footer aside form script style noscript template iframe button select input option textarea svg canvas object embed head title menu dialog link meta map audio video".split())
-CUT_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+CUT_NAMES = set("nav footer script style noscript template iframe button select input option textarea svg canvas object embed head title dialog link meta map audio video".split())
+CUT_ROLES = set("navigation contentinfo search alert alertdialog dialog menu menubar toolbar".split())
+#: Elements and roles that are cut unless they hold most of the page's text, as a form around a whole page does.
+MOSTLY_NAMES = set("header aside form menu".split())
+MOSTLY_ROLES = set("banner complementary form".split())
 #: Class names and ids that tell what a container is for, if they are the whole name.
 CUT_WORDS = set(
     "ad ads adv advert adverts advertisement advertisements adsense adslot sponsor sponsored sponsors promo promotion promoted banner sidebar sidebars aside "
@@ -79,7 +83,7 @@ class Page:
     """Nodes in page order: name, parent, class, whether cut by what it is or by class; and text with node and block."""
 
     def __init__(self, page: str):
-        self.names, self.parents, self.classes, self.cut, self.worded = ["#root"], [-1], [""], [False], [False]
+        self.names, self.parents, self.classes, self.cut, self.mostly, self.worded = ["#root"], [-1], [""], [False], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []
         self.last: list[int] = [0]  # the last node of each subtree
         self.held: dict[str, int] = {"#root": 1}  # how many open elements have each name
@@ -145,6 +149,9 @@ class Page:
         self.parents.append(self.open[-1])
         self.classes.append(found.get("class", ""))
         self.cut.append(name in CUT_NAMES or found.get("role", "").lower() in CUT_ROLES or (hidden and name not in ("html", "body")))
+        # a header in an article is the article's: its title, its byline
+        page_s = name != "header" or not self.held.get("article")
+        self.mostly.append((name in MOSTLY_NAMES and page_s) or found.get("role", "").lower() in MOSTLY_ROLES)
         self.worded.append(told_by_class(name, found))
         self.last.append(len(self.names) - 1)
         if name not in VOID:
@@ -177,6 +184,9 @@ class Page:
         for k, _, t in texts:
             own[k] += len("".join(t.split()))
         every = self.subtree_counts(own)
+        for k in range(1, n):
+            cut[k] = cut[self.parents[k]] or cut[k] or self.mostly[k] and 2 * every[k] <= every[0]
+        every = self.subtree_counts([0 if cut[k] else own[k] for k in range(n)])
         holds = self.subtree_counts([int(self.names[k] in ("article", "main", "h1") and not cut[k]) for k in range(n)])
         gone = cut
         for k in range(1, n):  # by class: not what holds most of the text beside what may be the title or the article

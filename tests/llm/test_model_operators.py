@@ -310,6 +310,24 @@ def test_main_text_by_hand(page, text):
     assert html.main_text(page) == text.strip()
 
 
+@pytest.mark.parametrize("before,after", [("<form id=aspnetForm>", "</form>"), ("<div role=form>", "</div>"), ("<form><div class=page>", "</div></form>"), ("<aside>", "</aside>"), ("<header>", "</header>")])
+def test_a_page_that_stands_in_a_form(before, after):
+    text = "Some words of an article that goes on for a while, and then some more. " * 6
+    rest = "<nav><a href=/>Home</a></nav><label>Name</label><input><button>Send</button><select><option>One</select>"
+    for inner in (f"<article><h1>Title</h1><p>{text}</p></article>", f"<div><h1>Title</h1><p>{text}</p><p>{text}</p></div>"):
+        want = html.main_text(f"<body>{inner}</body>")
+        assert want.startswith("Title Some words")
+        assert html.main_text(f"<body>{before}{rest}{inner}{after}<footer>Foot</footer></body>") == want
+    small = "<form action=/signup><p>Give us your address and we will write to you.</p><input></form>"
+    assert html.main_text(f"<body>{small}<article><h1>Title</h1><p>{text}</p></article>{small}</body>") == html.main_text(f"<article><h1>Title</h1><p>{text}</p></article>")
+
+
+def test_a_header_in_an_article_is_its_title():
+    text = "Some words of an article that goes on for a while, and then some more. " * 6
+    page = f"<body><header><h1>Site</h1><p>Claim of the site</p></header><article><header><h1>Title</h1></header><p>{text}</p></article></body>"
+    assert html.main_text(page) == f"Title {text.strip()}"
+
+
 def test_deep_and_long_pages_take_linear_time():
     deep = "<div>" * 20000 + "<p>text</p>" + "</div>" * 20000
     inline = "<p>" + "<b>" * 20000 + "text" + "<p>more" * 2000
