@@ -15,7 +15,7 @@ from palimpsest.operators.graph import cut, projection
 
 DAMPING, THRESHOLD, ROUNDS = 0.85, 1e-4, 60
 #: Rounds between two looks at what is left.
-EVERY = 5
+EVERY = 4
 
 
 def shares(edges: DataFrame) -> DataFrame:
@@ -29,19 +29,21 @@ def pushed(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, thresho
     seed without edges can't pass on goes back to its question's seeds: that is the same as losing it and making the rest
     greater by 1 / (1 - damping * the part of such seeds), so it costs no round. Runs jobs while the plan is built."""
     c = F.col
-    share = cut(shares(edges))
-    seeds = seeds.select("question", "node").distinct().join(share.select(c("src").alias("node"), F.lit(0.0).alias("alone")).distinct(), "node", "left").na.fill(1.0, ["alone"])
+    share = shares(edges)
+    every = share.select(c("src").alias("node")).unionByName(seeds.select("node")).distinct()
+    share = cut(share.unionByName(every.select(c("node").alias("src"), c("node").alias("dst"), F.lit(0.0).alias("p"))))  # a loop keeps what a node has
+    seeds = seeds.select("question", "node").distinct().join(share.where("src <> dst").select(c("src").alias("node"), F.lit(0.0).alias("alone")).distinct(), "node", "left").na.fill(1.0, ["alone"])
     of = seeds.groupBy("question").agg((1.0 / F.count("*")).alias("s"), (1.0 / (1.0 - damping * F.avg("alone"))).alias("scale"))
     seeds = cut(seeds.join(of, "question"))
     state = seeds.select("question", "node", F.lit(0.0).alias("settled"), c("s").alias("left"))
+    over, own = c("left") > threshold, c("src") == c("dst")
+    settled = F.when(own, c("settled") + F.when(over, (1 - damping) * c("left")).otherwise(0.0)).otherwise(0.0)
+    left = F.when(own, F.when(over, 0.0).otherwise(c("left"))).otherwise(damping * c("left") * c("p"))
     done = 0
     while done < rounds:
         for _ in range(min(EVERY, rounds - done)):
-            over = c("left") > threshold
-            sent = state.where(over).join(share, c("node") == c("src")).groupBy("question", c("dst").alias("node")).agg(F.sum(damping * c("left") * c("p")).alias("left"))
-            stay = state.select("question", "node", (c("settled") + F.when(over, (1 - damping) * c("left")).otherwise(0.0)).alias("settled"), F.when(over, 0.0).otherwise(c("left")).alias("left"))
-            both = stay.unionByName(sent.select("question", "node", F.lit(0.0).alias("settled"), "left"))
-            state = both.groupBy("question", "node").agg(F.sum("settled").alias("settled"), F.sum("left").alias("left"))
+            sent = state.join(share, (c("node") == c("src")) & (over | own)).select("question", c("dst").alias("node"), settled.alias("settled"), left.alias("left"))
+            state = sent.groupBy("question", "node").agg(F.sum("settled").alias("settled"), F.sum("left").alias("left"))
             done += 1
         state = cut(state)
         if not state.where(c("left") > threshold).limit(1).count():

@@ -52,7 +52,7 @@ def merged(edges: DataFrame, aliases: dict[int, int]) -> DataFrame:
     return edges.select(src.cast("long").alias("src"), "dst", "w").groupBy("src", "dst").agg(F.least(F.lit(1.0), F.sum("w")).alias("w"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4, every: int = 3) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4, every: int = 1) -> DataFrame:
     """node, activation: personalised PageRank from the seeds (node) over the projection, the seeds left out, the greatest
     made 1. A node without edges gives its rank back to the seeds. Runs jobs while the plan is built: after every few
     rounds, ranks are written and looked at."""
