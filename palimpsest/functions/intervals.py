@@ -6,7 +6,7 @@ import re
 from datetime import datetime, timedelta
 
 #: Units of time, in days, and the names of weekdays.
-UNIT_DAYS = {"d": 1, "day": 1, "days": 1, "w": 7, "week": 7, "weeks": 7, "m": 30, "mo": 30, "month": 30, "months": 30, "y": 365, "year": 365, "years": 365, "h": 1 / 24, "hour": 1 / 24, "hours": 1 / 24}
+UNIT_DAYS = {"d": 1, "day": 1, "days": 1, "w": 7, "wk": 7, "week": 7, "weeks": 7, "m": 30, "mo": 30, "month": 30, "months": 30, "y": 365, "yr": 365, "year": 365, "years": 365, "h": 1 / 24, "hour": 1 / 24, "hours": 1 / 24}
 DAYS = {"monday": 0, "mon": 0, "tuesday": 1, "tue": 1, "wednesday": 2, "wed": 2, "thursday": 3, "thu": 3, "friday": 4, "fri": 4, "saturday": 5, "sat": 5, "sunday": 6, "sun": 6}
 
 

@@ -127,3 +127,24 @@ def sentences(text: Column) -> Column:
 def path_shape(path: Column) -> Column:
     """A path with its numbers made parameters."""
     return F.regexp_replace(path, r"/[0-9a-f]*[0-9][0-9a-f]*(?=/|$|\?|\.)", "/{id}")
+
+
+def sparse_tokens(text: Column) -> Column:
+    """Words of a text in lower case, without the marks of its letters (canonical decomposition) and stop words, in order,
+    repeats included; null for null. A vectorised function, for Spark's expressions can't decompose."""
+    import re
+    import unicodedata
+
+    import pandas as pd
+
+    word, stop = re.compile(r"\w+"), frozenset(STOPWORDS)
+
+    def words(x: str) -> list[str]:
+        bare = "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn") if not x.isascii() else x
+        return [w for w in word.findall(bare.lower()) if w not in stop]
+
+    def each(some: pd.Series) -> pd.Series:
+        return some.map(words, na_action="ignore")
+
+    each.__annotations__ = {"some": pd.Series, "return": pd.Series}
+    return F.pandas_udf(each, "array<string>")(text)

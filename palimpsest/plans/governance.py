@@ -311,6 +311,11 @@ def fn_sparse_words(t):
     return t.documents.select("doc_id", F.size(words).cast("long").alias("n"))
 
 
+@query("fn_sparse_tokens", f"SELECT doc_id, list_filter(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}_]+'), lambda x: NOT list_contains({list(text.STOPWORDS)}, x)) AS words FROM documents")
+def fn_sparse_tokens(t):
+    return t.documents.select("doc_id", text.sparse_tokens(C("text")).alias("words"))
+
+
 # -- joins on hits
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import intervals, text
-from palimpsest.operators import joins, state
+from palimpsest.functions import text, timewords
+from palimpsest.operators import joins, setjoin, state
 from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, NOW, OUTCOMES, atoms, audit, duck_jaccard, duck_tokens, edges, now_, outcomes
 from palimpsest.plans.governance import FUSED, fused
 from palimpsest.plans.registry import query
@@ -192,15 +192,25 @@ def fn_boundaries(t):
     return d.join(c, "user_id").where("v >= least").select("user_id", "event_id")
 
 
-@query("fn_time_expressions")
-def fn_time_expressions(t):
-    """What expressions of time mean, from one `now`."""
-    import datetime
+#: A phrase of each row's own numbers, at the end of its whole text; its time is a day a turn after the year's start.
+PHRASED = """CASE conv_id % 6 WHEN 0 THEN concat(turn + 1, ' days ago') WHEN 1 THEN 'Last week' WHEN 2 THEN 'this month' WHEN 3 THEN 'last wednesday' WHEN 4 THEN '2024-05-06' ELSE 'never' END"""
+SPANS = f"""
+WITH c AS (SELECT conv_id, turn, conv_id % 6 AS k, TIMESTAMP '2025-01-01 10:00:00' + to_days(CAST(turn AS INT)) AS now FROM conversations)
+SELECT conv_id, turn,
+    CASE k WHEN 0 THEN now - to_days(CAST(turn + 1 AS INT)) WHEN 1 THEN date_trunc('week', now) - to_days(7) WHEN 2 THEN date_trunc('month', now)
+        WHEN 3 THEN date_trunc('day', now) - to_days(CAST((isodow(now) + 3) % 7 + 1 AS INT)) WHEN 4 THEN TIMESTAMP '2024-05-06' END AS since,
+    CASE k WHEN 0 THEN now - to_days(CAST(turn AS INT)) WHEN 1 THEN date_trunc('week', now) WHEN 2 THEN date_trunc('month', now) + to_months(1)
+        WHEN 3 THEN date_trunc('day', now) - to_days(CAST((isodow(now) + 3) % 7 AS INT)) WHEN 4 THEN TIMESTAMP '2024-05-07' END AS until
+FROM conversations JOIN c USING (conv_id, turn)
+"""
 
-    now = datetime.datetime(2025, 1, 1)
-    asked = ("7d", "2w", "1m", "1y", "3 days ago", "today", "yesterday", "this week", "last week", "this month", "last month", "this year", "last year", "monday", "last wednesday", "2024-05-06", "nonsense")
-    rows = [(x, *intervals.span(x, now)) for x in asked]
-    return t.spark.createDataFrame(rows, "asked string, since timestamp, until timestamp")
+
+@query("fn_time_expressions", SPANS)
+def fn_time_expressions(t):
+    """What stretch of time each whole text speaks of, from its own row's time."""
+    now = F.expr("timestampadd(DAY, CAST(turn AS INT), TIMESTAMP '2025-01-01 10:00:00')")
+    s = timewords.spoken_of(F.concat_ws(" ", "text", F.expr(PHRASED)), now)
+    return t.conversations.select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.since", "s.until")
 
 
 # -- streams and growth
@@ -353,9 +363,11 @@ def set_collapse(t):
 @query("set_duplicate_proposals", f"WITH {ATOMS}, p AS (SELECT id, kind, {duck_tokens('text')} AS x, topic_key FROM atoms WHERE kind IN ('conjecture', 'fact')) SELECT DISTINCT a.id FROM p a JOIN p b ON a.topic_key = b.topic_key AND a.kind = 'conjecture' AND b.id < a.id WHERE {duck_jaccard('a.x', 'b.x')} >= 0.5")
 def set_duplicate_proposals(t):
     """Proposals that an earlier proposal or fact on their topic already says."""
-    p = atoms(t).where("kind IN ('conjecture', 'fact')").select("id", "kind", "topic_key", text.tokens(C("text")).alias("x"))
-    b = p.select("topic_key", C("id").alias("other"), C("x").alias("y"))
-    return p.where("kind = 'conjecture'").join(b, "topic_key").where("other < id").where(text.jaccard(C("x"), C("y")) >= 0.5).select("id").distinct()
+    p = atoms(t).where("kind IN ('conjecture', 'fact')").select("id", "kind", "topic_key", text.tokens(C("text")).alias("tokens"))
+    members, pairs = setjoin.alike(p, 0.5, "jaccard", ("topic_key",))
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(C("b").alias("a"), C("a").alias("b")))).alias("x")).select("x.a", "x.b")
+    first = both.unionByName(members.select(C("of").alias("a"), C("of").alias("b")).distinct()).groupBy(C("a").alias("of")).agg(F.min("b").alias("first"))  # a class begins with its least id
+    return p.where("kind = 'conjecture'").select("id").join(members, "id").join(first, "of").where("first < id").select("id").distinct()
 
 
 @query("topk_blocks", f"WITH {ATOMS} SELECT topic_key, id, row_number() OVER (PARTITION BY topic_key ORDER BY CASE kind WHEN 'decision' THEN 0 WHEN 'preference' THEN 1 WHEN 'fact' THEN 2 ELSE 3 END, confidence DESC, id) AS place FROM atoms WHERE kind <> 'raw_dump' AND confidence >= 0.2")

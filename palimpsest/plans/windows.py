@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.functions.vector import cosine
-from palimpsest.operators import fusion, joins, retrieval, windows
+from palimpsest.operators import fusion, joins, retrieval, setjoin, windows
 from palimpsest.plans.bindings import ATOMS, AUDIT, EDGES, NOW, OUTCOMES, atoms, audit, duck_jaccard, duck_tokens, edges, outcomes, now_
 from palimpsest.plans.registry import query
 
@@ -225,9 +225,8 @@ def set_exact_dedup(t):
 
 @query("set_contained", f"WITH d AS (SELECT doc_id, source, {duck_tokens('text')} AS x FROM documents WHERE n_chars < 400) SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.source = b.source AND a.doc_id < b.doc_id AND len(a.x) > 0 AND len(b.x) > 0 AND CAST(len(list_intersect(a.x, b.x)) AS DOUBLE) / least(len(a.x), len(b.x)) >= 0.5")
 def set_contained(t):
-    d = t.documents.where("n_chars < 400").select("doc_id", "source", text.tokens(F.col("text")).alias("x"))
-    a, b = d.toDF("a", "source", "ax"), d.toDF("b", "source", "bx")
-    return a.join(b, "source").where("a < b").where(text.containment(F.col("ax"), F.col("bx")) >= 0.5).select("a", "b")
+    d = t.documents.where("n_chars < 400").select(F.col("doc_id").alias("id"), "source", text.tokens(F.col("text")).alias("tokens"))
+    return setjoin.pairs_of_ids(*setjoin.alike(d, 0.5, "containment", ("source",)))
 
 
 @query("set_id_union", "SELECT DISTINCT id FROM (SELECT doc_id AS id FROM labels WHERE quality = 1 UNION SELECT vec_id FROM embeddings WHERE label = 3)")
