@@ -79,6 +79,26 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return others.where("r > 0").join(F.broadcast(most)).select("node", (F.col("r") / F.col("most")).alias("activation"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) -> node, component (its least node). Each round a component takes the least one next to it, and
+    chains of such steps are followed to their ends, in steps that double. Runs jobs while the plan is built."""
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least("src", F.min("dst")).alias("component")))
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("next")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("next").alias("next"))
+        to = labels.join(seen, "node").groupBy("component").agg(F.min("next").alias("next")).select("component", F.least("component", "next").alias("next"))
+        to = cut(to)
+        if to.where("next < component").isEmpty():
+            return labels
+        while True:
+            further = to.join(to.select(F.col("component").alias("next"), F.col("next").alias("then")), "next").select("component", "next", "then")
+            further = cut(further)
+            to = further.select("component", F.col("then").alias("next"))
+            if further.where("then < next").isEmpty():
+                break
+        labels = cut(labels.join(to, "component").select("node", F.col("next").alias("component")))
+
+
 def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """node, community: each round a node takes the label with most weight around it, ties to the smaller label. Its own
     label counts as much as its strongest edge, so that two nodes don't swap labels for ever."""

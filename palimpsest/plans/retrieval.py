@@ -200,12 +200,6 @@ def graph_summaries(t):
     return s.join(q, "w", "left_semi").select("source").distinct()
 
 
-@query("graph_greedy_clusters")
-def graph_greedy_clusters(t):
-    e = t.embeddings.select(C("label").alias("group"), C("vec_id").alias("id"), "embedding")
-    return graph.complete_link(e, 0.15, 12)
-
-
 @query("state_write_class", f"WITH s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(1 - {COS}, 4) AS d FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE a.vec_id % 20 = 0), m AS (SELECT id, other, d FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) = 1) SELECT id, other, CASE WHEN d < 0.4 THEN 'NOOP' WHEN d < 0.65 THEN 'UPDATE' ELSE 'ADD' END AS operation FROM m")
 def state_write_class(t):
     new = t.embeddings.where("vec_id % 20 = 0").select(C("vec_id").alias("id"), C("embedding").alias("x"))
