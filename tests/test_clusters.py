@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import plans
 from palimpsest.functions import likeness
 from palimpsest.operators import graph, greedy, index, spectral
+from palimpsest.plans import clusters
 
 
 @pytest.fixture(scope="module")
@@ -185,3 +187,23 @@ def test_likeness_of_titles_is_that_of_difflib(spark):
     for r in out:
         want = difflib.SequenceMatcher(None, r["a"] or "", r["b"] or "", autojunk=False).ratio()
         assert r["r"] == pytest.approx(want, abs=1e-12) and r["m"] >= r["r"] - 1e-12
+
+
+def test_title_targets_are_those_of_plain_code(spark):
+    sf = "/root/testdata/sf0.01"
+    parts = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        parts[r["p_type"], r["p_size"]].append(r)
+    want = {}
+    for own in parts.values():
+        for a in own:
+            scored = []
+            for b in own:
+                x, y = set(a["p_name"].split()), set(b["p_name"].split())
+                like = max(difflib.SequenceMatcher(None, a["p_name"], b["p_name"], autojunk=False).ratio(), 0.6 * len(x & y) / len(x | y))
+                score = round(like + (0.2 if a["p_brand"] == b["p_brand"] else 0.0), 4)
+                if a is not b and score >= clusters.LIKE:
+                    scored.append((-score, b["p_partkey"]))
+            want |= {(a["p_partkey"], k): -s for s, k in sorted(scored)[:3]}
+    got = {(r["proposal"], r["note"]): r["score"] for r in plans.queries()["set_title_targets"](spark, sf).collect()}
+    assert len(got) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)
