@@ -17,9 +17,15 @@ def rrf(lists: DataFrame, weights: dict[str, float], k: int = RRF_K) -> DataFram
     """lists (qid, id, source, rank from 0) -> (qid, id, score from 0 to 100): the sum of weight / (k + rank), over what a
     row that leads all of the query's non-empty lists would get. Sources without a weight have 1."""
     weight = F.coalesce(*[F.when(F.col("source") == s, F.lit(w)) for s, w in weights.items()], F.lit(1.0))
-    weighted = lists.withColumn("_w", weight)
-    most = weighted.groupBy("qid", "source").agg(F.max("_w").alias("_w")).groupBy("qid").agg((F.sum("_w") / k).alias("_most"))
-    scores = weighted.groupBy("qid", "id").agg(F.sum(F.col("_w") / (k + F.col("rank"))).alias("_s"))
+    return weighed(lists.withColumn("weight", weight), k)
+
+
+def weighed(lists: DataFrame, k: int = RRF_K) -> DataFrame:
+    """As `rrf`, with a weight in each row (qid, id, source, rank, weight): a source may weigh more for one query than for
+    another."""
+    lists = lists.withColumnRenamed("weight", "_w")
+    most = lists.groupBy("qid", "source").agg(F.max("_w").alias("_w")).groupBy("qid").agg((F.sum("_w") / k).alias("_most"))
+    scores = lists.groupBy("qid", "id").agg(F.sum(F.col("_w") / (k + F.col("rank"))).alias("_s"))
     return scores.join(most, "qid").select("qid", "id", F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * F.col("_s") / F.col("_most"))).alias("score"))
 
 

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the folder that the cluster's executors share and read back, so that plans of loops stay short."""
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster's executors share; in local mode a temporary one is set where there is none."""
     import tempfile
 
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}.parquet"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back, so that plans of loops stay short."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/graph-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
