@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.functions.vector import cosine
+from palimpsest.functions.vector import dot, norm
 from palimpsest.operators import fusion, joins, retrieval
 
 C = F.col
@@ -28,9 +28,11 @@ def collections_search(questions: DataFrame, documents: DataFrame, limit: int, s
     only vectors and words count. Each variant has candidates of its own in each collection; words are looked at in
     candidates only. Of equal texts the best counts, of equal scores the smaller id."""
     most = max(LEAST_CANDIDATES, TIMES * limit)
-    asked = questions.where("qid IS NOT NULL AND vector IS NOT NULL").select("qid", F.xxhash64("text", "vector").alias("variant"), C("vector").alias("_q"))
-    points = documents.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "collection", C("vector").alias("_p"))
-    met = joins.each_with_each(asked, points).select("qid", "variant", "collection", "id", F.round(cosine(C("_q"), C("_p")), 4).alias("vector"))
+    asked = questions.where("qid IS NOT NULL AND vector IS NOT NULL").select("qid", F.xxhash64("text", "vector").alias("variant"), C("vector").alias("_q"), norm(C("vector")).alias("_qn"))
+    points = documents.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "collection", C("vector").alias("_p"), norm(C("vector")).alias("_pn"))
+    sizes = C("_qn") * C("_pn")
+    likeness = F.round(F.when(sizes == 0, 0.0).otherwise(dot(C("_q"), C("_p")) / sizes), 4)
+    met = joins.each_with_each(asked, points).select("qid", "variant", "collection", "id", likeness.alias("vector"))
     near = joins.top_k(met, ["qid", "variant", "collection"], [F.desc("vector"), C("id")], most)
     near = near.groupBy("qid", "collection", "id").agg(F.max("vector").alias("vector"))
     held = documents.join(near.select("id", "collection").distinct(), ["id", "collection"], "left_semi")
