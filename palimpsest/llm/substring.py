@@ -12,6 +12,10 @@ Documents are laid out once as blocks of some megabytes, in a table bucketed by
 What a block sends about a window is one row however often the block has it, so a passage that every document holds
 costs a shard no more than one row a block.
 
+A block's steps keep a few values a word, and what is large for a moment is made in slices: keys by runs of bytes, digests
+and look-ups by runs of windows. So a worker's memory grows by a few digests for each repeated window at most, and with a text
+longer than a block by a few values a word. Workers return free memory after each group of rows.
+
 Nulls and odd cases: a null or empty text has no words; a text shorter than a window loses none; repeated rows are copies
 of each other, and all their words in windows go; an empty table gives no rows; other columns of the input are not read.
 """
@@ -29,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import session_of, shared_folder, shuffle_parts, staged
+from palimpsest.llm.common import give_back, session_of, shared_folder, shuffle_parts, staged
 
 WINDOW = 35
 BLOCK_BYTES = 6_000_000
-#: Bytes of a block that are hashed at once.
-KEY_BYTES = 1_000_000
+#: Bytes of a block that are hashed at once, or as many as one window has.
+KEY_BYTES = 250_000
+#: Windows that are digested or looked up at once.
+WINDOWS_AT_ONCE = 20_000
 #: Positions of a sketch row for each window of the corpus, at least.
 SPARSE = 4
 ROWS = 2
@@ -52,57 +58,97 @@ class Block:
 
     def __init__(self, payload: bytes, window: int):
         table = pa.ipc.open_stream(zlib.decompress(payload)).read_all()
-        self.doc_ids, self.texts = table["doc_id"].to_pylist(), table["words"].to_pylist()
-        self.bytes = b" ".join([t for t in self.texts if t])
-        self.words = np.array([t.count(b" ") + 1 if t else 0 for t in self.texts], dtype=np.int64)
+        self.doc_ids, texts = table["doc_id"].to_pylist(), table["words"].to_pylist()
+        del table
+        self.window, self.bytes = window, b" ".join([t for t in texts if t])
+        self.words = np.array([t.count(b" ") + 1 if t else 0 for t in texts], dtype=np.int64)
+        del texts
+        index = np.int32 if len(self.bytes) < (1 << 31) - 1 else np.int64
         spaces = np.flatnonzero(np.frombuffer(self.bytes, dtype=np.uint8) == 32)
-        self.starts = np.concatenate([[0], spaces + 1]) if self.bytes else np.zeros(0, dtype=np.int64)
-        ends = np.append(spaces, len(self.bytes))
-        doc, n = np.repeat(np.arange(len(self.words)), self.words), max(0, len(self.starts) - window + 1)
-        self.at = np.flatnonzero(doc[:n] == doc[window - 1 :][:n])  # words at which a window starts
-        self.begin, self.end = self.starts[self.at], ends[self.at + window - 1]
-
-    def parts(self) -> Iterator[tuple[int, int]]:
-        """Runs of whole documents of about KEY_BYTES, as (first byte, byte after the last)."""
-        own = self.words[self.words > 0]
-        first = self.starts[np.cumsum(own) - own].tolist()
-        begin = 0
-        for k in range(1, len(first) + 1):
-            stop = first[k] if k < len(first) else len(self.bytes) + 1
-            if k == len(first) or (first[k + 1] if k + 1 < len(first) else len(self.bytes) + 1) - begin > KEY_BYTES:
-                yield begin, stop
-                begin = stop
+        self.starts = np.zeros(int(self.words.sum()) + 1, dtype=index)  # of words, and where a next one would start
+        self.starts[1:-1] = spaces
+        self.starts[1:-1] += 1
+        self.starts[-1] = len(self.bytes) + 1
+        del spaces
+        doc, n = np.repeat(np.arange(len(self.words), dtype=index), self.words), max(0, len(self.starts) - window)
+        self.at = np.flatnonzero(doc[:n] == doc[window - 1 :][:n]).astype(index)  # words at which a window starts
+
+    def spans(self, of: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """The first bytes of some windows, and the bytes after their last ones."""
+        at = self.at[of]
+        return self.starts[at], self.starts[at + self.window] - 1
 
     def keys(self) -> np.ndarray:
         """A 64-bit hash of each window's words: a difference of prefix sums, shifted to start at power 0."""
         every, out = np.frombuffer(self.bytes, dtype=np.uint8), np.zeros(len(self.at), dtype=U)
-        for a, b in self.parts():
-            of = every[a:b].astype(U) + U(1)
+        x = 0
+        while x < len(out):
+            begin, end = self.spans(slice(x, x + 1))
+            a = int(begin[0])
+            word = np.searchsorted(self.starts, self.starts.dtype.type(min(max(a + KEY_BYTES, int(end[0])), len(self.bytes))))
+            y = int(np.searchsorted(self.at, self.at.dtype.type(word)))
+            begin, end = self.spans(slice(x, y))
+            of = every[a : end[-1]].astype(U)
             powers, back = powers_to(len(of))
-            prefix = np.concatenate([np.zeros(1, dtype=U), np.cumsum(of * powers[: len(of)])])
-            x, y = np.searchsorted(self.begin, [a, b])
-            begin, end = self.begin[x:y] - a, self.end[x:y] - a
-            out[x:y] = (prefix[end] - prefix[begin]) * back[begin]
-        out = (out ^ (out >> U(30))) * U(MIX[0])
-        out = (out ^ (out >> U(27))) * U(MIX[1])
-        return out ^ (out >> U(31))
+            of += U(1)
+            of *= powers[: len(of)]
+            prefix = np.zeros(len(of) + 1, dtype=U)
+            np.cumsum(of, out=prefix[1:])
+            out[x:y] = (prefix[end - a] - prefix[begin - a]) * back[begin - a]
+            x = y
+        for k in range(0, len(out), WINDOWS_AT_ONCE):
+            some = out[k : k + WINDOWS_AT_ONCE]
+            some ^= some >> U(30)
+            some *= U(MIX[0])
+            some ^= some >> U(27)
+            some *= U(MIX[1])
+            some ^= some >> U(31)
+        return out
 
     def digests(self, of: np.ndarray) -> np.ndarray:
         """The 128-bit digests of some windows' words, as two columns."""
-        digest, own = xxhash.xxh3_128_digest, self.bytes
-        joined = b"".join([digest(own[a:b]) for a, b in zip(self.begin[of].tolist(), self.end[of].tolist(), strict=True)])
-        return np.frombuffer(joined, dtype="<u8").reshape(-1, 2)
+        digest, own, out = xxhash.xxh3_128_digest, self.bytes, np.zeros((len(of), 2), dtype="<u8")
+        for k in range(0, len(of), WINDOWS_AT_ONCE):
+            begin, end = self.spans(of[k : k + WINDOWS_AT_ONCE])
+            joined = b"".join([digest(own[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            out[k : k + WINDOWS_AT_ONCE] = np.frombuffer(joined, dtype="<u8").reshape(-1, 2)
+        return out
+
+    def without(self, starts: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+        """Each document's id, words, words that windows starting at these words cover, and the other words."""
+        edges = np.zeros(len(self.starts), dtype=np.int32)
+        edges[starts] += 1  # no two windows start or end at one word
+        edges[starts + self.window] -= 1
+        gone = np.cumsum(edges, out=edges)[:-1] > 0
+        del edges
+        last = np.cumsum(self.words)
+        first = last - self.words
+        for d, n, x, y, begin, end in zip(self.doc_ids, self.words.tolist(), first.tolist(), last.tolist(), self.starts[first].tolist(), self.starts[last].tolist(), strict=True):
+            removed = int(np.count_nonzero(gone[x:y]))
+            kept = self.bytes[begin : end - 1] if n else b""
+            if removed:  # kept words come in runs
+                turns = np.flatnonzero(np.diff(gone[x:y], prepend=True, append=True)) + x
+                runs = self.starts[turns].tolist()
+                kept = b" ".join([self.bytes[a : b - 1] for a, b in zip(runs[::2], runs[1::2], strict=True)])
+            yield d, n, removed, kept
 
 
 _POWERS: list[np.ndarray] = []
 
 
 def powers_to(n: int) -> list[np.ndarray]:
-    """BASE to the powers 0 to n at least, and its inverse; kept by the process."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n, KEY_BYTES) + 1
-        _POWERS[:] = [np.cumprod(np.concatenate([[U(1)], np.full(size - 1, U(x))]).astype(U)) for x in (BASE, pow(BASE, -1, 1 << 64))]
-    return _POWERS
+    """BASE to the powers 0 to n at least, and its inverse; kept by the process but for very long windows."""
+    if _POWERS and n < len(_POWERS[0]):
+        return _POWERS
+    size = max(n, 2 * KEY_BYTES) + 1
+    made = []
+    for x in (BASE, pow(BASE, -1, 1 << 64)):
+        powers = np.full(size, U(x), dtype=U)
+        powers[0] = 1
+        made.append(np.cumprod(powers, out=powers))
+    if n <= 2 * KEY_BYTES:
+        _POWERS[:] = made
+    return made
 
 
 def positions(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -114,8 +160,9 @@ def positions(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
 def sorted_counts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different positions, sorted, and whether each was met more than once."""
     found = np.sort(found)
-    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, dtype=np.int64)
-    return found[first], np.diff(np.append(first, len(found))) > 1
+    new = np.ones(len(found) + 1, dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:-1])
+    return found[new[:-1]], ~new[1:][new[:-1]]
 
 
 def shard_bounds(found: np.ndarray, shift: int, shards: int) -> np.ndarray:
@@ -136,10 +183,10 @@ def sketch(block: Block, row: int, bits: int, shift: int) -> Iterator[tuple[int,
     """(shard, sorted positions within it, as gaps with a bit for "more than once")."""
     found, twice = sorted_counts(positions(block.keys(), row, bits))
     bounds = shard_bounds(found, shift, 1 << (bits - shift))
-    low = (found & U((1 << shift) - 1)).astype(np.int64)
     for shard in np.flatnonzero(np.diff(bounds)).tolist():
         a, b = bounds[shard], bounds[shard + 1]
-        gaps = np.diff(low[a:b], prepend=0) * 2 + twice[a:b]
+        low = (found[a:b] & U((1 << shift) - 1)).astype(np.int64)
+        gaps = np.diff(low, prepend=0) * 2 + twice[a:b]
         yield shard, (b"2" + gaps.astype("<u2").tobytes() if gaps.max() < 1 << 16 else b"4" + gaps.astype("<u4").tobytes())
 
 
@@ -158,16 +205,17 @@ def estimated(block: Block, answers: dict[tuple[int, int], bytes], bits: int, sh
     """Which windows both rows' merged sketches estimate as repeated."""
     keys, out = block.keys(), np.ones(len(block.at), dtype=bool)
     for row in range(ROWS):
-        found = positions(keys, row, bits)
-        different, _ = sorted_counts(found)
+        different = sorted_counts(positions(keys, row, bits))[0]
         bounds = shard_bounds(different, shift, 1 << (bits - shift))
         again = [different[bounds[s] : bounds[s + 1]][unpack_bits(answers[row, s], int(bounds[s + 1] - bounds[s]))] for s in np.flatnonzero(np.diff(bounds)).tolist()]
         again = np.concatenate(again) if again else np.zeros(0, dtype=U)
-        if len(again):
-            near = np.minimum(np.searchsorted(again, found), len(again) - 1)
-            out &= again[near] == found
-        else:
+        del different
+        if not len(again):
             out[:] = False
+        for k in range(0, len(keys) if len(again) else 0, WINDOWS_AT_ONCE):
+            found = positions(keys[k : k + WINDOWS_AT_ONCE], row, bits)
+            near = np.minimum(np.searchsorted(again, found), len(again) - 1)
+            out[k : k + WINDOWS_AT_ONCE] &= again[near] == found
     return np.flatnonzero(out)
 
 
@@ -177,12 +225,12 @@ def exact_groups(block: Block, some: np.ndarray, shards: int) -> tuple[np.ndarra
     digests = block.digests(some) if len(some) else np.zeros((0, 2), dtype="<u8")
     order = np.lexsort((digests[:, 1], digests[:, 0]))
     digests = digests[order]
-    new = np.concatenate([[True], (digests[1:] != digests[:-1]).any(axis=1)]) if len(digests) else np.zeros(0, dtype=bool)
-    place = np.zeros(len(some), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    twice = np.diff(np.append(first, len(digests))) > 1
-    different = digests[first]
+    new = np.ones(len(digests) + 1, dtype=bool)
+    np.any(digests[1:] != digests[:-1], axis=1, out=new[1:-1])
+    place = np.zeros(len(some), dtype=block.at.dtype)
+    place[order] = np.cumsum(new[:-1], dtype=place.dtype) - 1
+    twice = ~new[1:][new[:-1]]
+    different = digests[new[:-1]]
     shift = 64 - (shards.bit_length() - 1)
     return different, twice, place, shard_bounds(different[:, 0].copy(), shift, shards)
 
@@ -234,6 +282,8 @@ def lay_out(docs: DataFrame, doc_id: str, text: str, window: int, block_bytes: i
                 held += len(words) + 1
         if ids:
             yield block()
+        ids, texts = [], []
+        give_back()
 
     laid = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(blocks, "block long, payload binary, windows long")
     name = f"substring_blocks_{uuid.uuid4().hex}"
@@ -258,9 +308,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row] * len(found), pa.int32()), pa.array([s for s, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["row", "shard", "block", "data"]
                     )
+                del own, found
+                give_back()
 
     def merged(of: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": of["block"], "row": of["row"], "shard": of["shard"], "bits": merge_sketches(list(of["data"]), shift)})
+        bits_of = merge_sketches(list(of["data"]), shift)
+        give_back()
+        return pd.DataFrame({"block": of["block"], "row": of["row"], "shard": of["shard"], "bits": bits_of})
 
     answer = "block long, row int, shard int, bits binary"
     shards = blocks.select("block", "payload").mapInArrow(sketches, "row int, shard int, block long, data binary").groupBy("row", "shard")
@@ -277,10 +331,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for s in np.flatnonzero(np.diff(bounds)).tolist():
                 a, b = int(bounds[s]), int(bounds[s + 1])
                 rows.append((s, block, (b - a).to_bytes(4, "little") + different[a:b].tobytes() + pack_bits(twice[a:b])))
+            del here, different, twice
+            give_back()
         return pd.DataFrame(rows, columns=["shard", "block", "data"])
 
     def merged_exact(of: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": of["block"], "row": -1, "shard": of["shard"], "bits": merge_exact(list(of["data"]))})
+        bits_of = merge_exact(list(of["data"]))
+        give_back()
+        return pd.DataFrame({"block": of["block"], "row": -1, "shard": of["shard"], "bits": bits_of})
 
     def beside(given: DataFrame):
         return blocks.select("block", "payload").groupBy("block").cogroup(given.groupBy("block"))
@@ -296,13 +354,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             different, _, place, bounds = exact_groups(here, some, exact_shards)
             again = [unpack_bits(given[-1, s], int(bounds[s + 1] - bounds[s])) for s in np.flatnonzero(np.diff(bounds)).tolist()]
             starts = here.at[some[np.concatenate(again)[place]]] if again else np.zeros(0, dtype=np.int64)
-            edges = np.bincount(starts, minlength=len(here.starts) + 1) - np.bincount(starts + window, minlength=len(here.starts) + 1)[: len(here.starts) + 1]
-            gone = np.cumsum(edges)[: len(here.starts)] > 0
-            ends = np.cumsum(here.words)
-            for d, t, a, b in zip(here.doc_ids, here.texts, (ends - here.words).tolist(), ends.tolist(), strict=True):
-                n = int(np.count_nonzero(gone[a:b]))
-                kept = t if not n else b" ".join([w for w, x in zip(t.split(), gone[a:b].tolist(), strict=True) if not x])
-                rows.append((d, b - a, n, kept.decode("utf-8", "surrogatepass")))
+            del some, different, place, again
+            rows += [(d, n, gone, kept.decode("utf-8", "surrogatepass")) for d, n, gone, kept in here.without(starts)]
+            del here, starts
+            give_back()
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
 
     return beside(answers.unionByName(confirmed)).applyInPandas(removed, "doc_id long, n_words long, n_removed long, kept string")

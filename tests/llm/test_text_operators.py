@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -116,6 +118,59 @@ def test_repeated_windows_go(given, block):
     assert got == brute_repeats(docs, 35)
 
 
+def block_of(texts):
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "words": pa.array([t.encode() for t in texts], pa.large_binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return zlib.compress(sink.getvalue(), 1)
+
+
+@pytest.mark.parametrize("copies", [1, 2, 2000])
+def test_a_block_of_repeats_takes_bounded_memory(copies):
+    """One long text, two, and many, with all windows estimated as repeated: bytes held at once, for each byte of text."""
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 90_000, 600_000 // copies).tolist())
+    payload, size = block_of([text] * copies), (len(text) + 1) * copies
+    tracemalloc.start()
+    try:
+        block = substring.Block(payload, 35)
+        answers = {}
+        for row in range(substring.ROWS):
+            for shard, data in substring.sketch(block, row, 24, 16):
+                answers[row, shard] = substring.pack_bits(np.ones(len(data) // 2, dtype=bool))
+        some = substring.estimated(block, answers, 24, 16)
+        assert len(some) == len(block.at)
+        different, twice, place, _ = substring.exact_groups(block, some, 256)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(different) == len(some) // copies and twice.all() == (copies > 1) and place.max() == len(different) - 1
+    assert peak < 20 * size
+
+
+def test_slices_of_a_block_give_what_the_whole_gives(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["", "a " * 90 + "a", "", " ".join(f"w{k}" for k in rng.integers(0, 9, 500).tolist()), "x" * 900, " ".join("y" * k for k in range(1, 90)), "é 日本 " * 40 + "z", ""]
+    block = substring.Block(block_of(texts), 35)
+    words = [t.encode().split() for t in texts]
+    windows = [b" ".join(w[k : k + 35]) for w in words for k in range(len(w) - 34)]
+    keys, digests = block.keys(), block.digests(np.arange(len(block.at)))
+    assert len(set(zip(windows, keys.tolist(), strict=True))) == len(set(windows)) == len(set(keys.tolist()))
+    assert digests.tobytes() == b"".join(xxhash.xxh3_128_digest(w) for w in windows)
+    for key_bytes, at_once in ((1, 1), (100, 7), (3000, 64)):
+        monkeypatch.setattr(substring, "KEY_BYTES", key_bytes)
+        monkeypatch.setattr(substring, "WINDOWS_AT_ONCE", at_once)
+        monkeypatch.setattr(substring, "_POWERS", [])
+        assert (block.keys() == keys).all() and (block.digests(np.arange(len(block.at))) == digests).all()
+    some = block.at[rng.random(len(block.at)) < 0.02]
+    gone = np.zeros(sum(map(len, words)), dtype=bool)
+    for k in some.tolist():
+        gone[k : k + 35] = True
+    parts = np.split(gone, np.cumsum([len(w) for w in words]))
+    assert list(block.without(some)) == [(d, len(w), int(g.sum()), b" ".join(x for x, y in zip(w, g.tolist(), strict=True) if not y)) for d, (w, g) in enumerate(zip(words, parts[:-1], strict=True))]
+
+
 BASE = [
     ("assign", re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
