@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text
 from palimpsest.plans.bindings import ATOMS, atoms
 from palimpsest.plans.registry import query
 from palimpsest.sources import records
@@ -106,7 +107,7 @@ def fn_index_text(t):
 
 
 #: A question about a relation's name, and one for a person's own.
-OF_RELATION, OWN_NAME = r"(?is)\b(leur|the|la|le)\b.*\b(qui|that)\b", r"(?i)\b(dans|with)\b"
+OF_RELATION, OWN_NAME = text.edged(r"(?isu)\b(leur|the|la|le)\b.*\b(qui|that)\b"), text.edged(r"(?iu)\b(dans|with)\b")
 
 
 @query("flt_identity_suppressed", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(?is)\\b(leur|the|la|le)\\b.*\\b(qui|that)\\b') AND NOT regexp_matches(text, '(?i)\\b(dans|with)\\b')")
