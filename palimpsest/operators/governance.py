@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import edged, lowered
+
 #: Collections whose rows share coarse paths, so that a row's id tells it better.
 LEARNED = ("semantic", "experience", "patterns")
 #: How far the older of two statements that contradict each other falls, and what a primary document gains.
@@ -101,8 +103,9 @@ CUES = "not never nor isnt arent wasnt werent dont doesnt didnt cant cannot wont
 
 
 def has_unnegated(text: Column, pattern: str) -> Column:
-    """Whether the pattern (without groups) is met anywhere with no negation among the three words before it."""
-    gaps = F.split(F.regexp_replace(F.lower(text), "['’]", ""), pattern, -1)
+    """Whether the pattern (without groups) is met anywhere with no negation among the three words before it; its edges of
+    words are ASCII's."""
+    gaps = F.split(F.regexp_replace(lowered(text), "['’]", ""), edged(pattern), -1)
     words = lambda gap: F.regexp_extract_all(gap, F.lit("[a-z0-9]+|[가-힣]+"), F.lit(0))
     last = lambda gap: F.slice(F.reverse(words(gap)), 1, 3)
     cues = F.array(*map(F.lit, CUES))
