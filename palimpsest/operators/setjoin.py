@@ -7,7 +7,10 @@ once. Candidates are held by size and checked on the whole sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIKE = ("jaccard", "containment")
@@ -66,3 +69,35 @@ def pairs_of_ids(members: DataFrame, pairs: DataFrame) -> DataFrame:
     between = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     within = members.select(F.col("id").alias("a"), "of").join(members.select(F.col("id").alias("b"), "of"), "of").where("a < b").select("a", "b")
     return between.unionByName(within)
+
+
+#: Rows of a key that a task reads in order at once.
+STRETCH = 2000
+
+
+def like_recent(sets: DataFrame, key: str, most: int, least: float, stretch: int = STRETCH) -> DataFrame:
+    """id: sets (id, tokens, key) whose Jaccard with one of the `most` before them in their key, in order of ids, is `least`. A
+    key is cut into stretches that begin with the rows that their first ones look back to, so that no task holds a key."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("id"))) - 1
+    placed = sets.where(F.col(key).isNotNull()).select("id", key, "tokens", at.alias("at"))
+    own = F.floor(F.col("at") / stretch).cast("int")
+    ahead = F.floor((F.col("at") + most) / stretch).cast("int")
+    dealt = placed.withColumn("stretch", F.explode(F.sequence(own, ahead)))
+
+    def alike_ones(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at")
+        begin = rows.column("stretch")[0].as_py() * stretch
+        recent: deque[frozenset] = deque(maxlen=most)
+        found = []
+        for k in range(len(rows)):
+            x = frozenset(rows.column("tokens")[k].as_py() or ())
+            if rows.column("at")[k].as_py() >= begin and x:
+                for y in recent:
+                    small, large = (x, y) if len(x) < len(y) else (y, x)
+                    if len(small) >= least * len(large) - 1e-9 and small and (both := len(small & large)) / (len(x) + len(y) - both) >= least:
+                        found.append(k)
+                        break
+            recent.append(x)
+        return pa.table({"id": rows.column("id").take(pa.array(found, pa.int64()))})
+
+    return dealt.groupBy(key, "stretch").applyInArrow(alike_ones, f"id {sets.schema['id'].dataType.simpleString()}")

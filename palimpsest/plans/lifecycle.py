@@ -150,9 +150,8 @@ def src_reembed(t):
 @query("src_recent_gate", f"WITH d AS (SELECT doc_id, source, {duck_tokens('text')} AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT DISTINCT a.doc_id FROM d a JOIN d b ON a.source = b.source AND b.k BETWEEN a.k - 50 AND a.k - 1 WHERE {duck_jaccard('a.x', 'b.x')} >= 0.7")
 def src_recent_gate(t):
     """Records that resemble one of the 50 before them in their inbox."""
-    d = t.documents.select("doc_id", "source", text.tokens(C("text")).alias("x"))
-    recent = F.collect_list("x").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(-50, -1))
-    return d.withColumn("recent", recent).where(F.exists("recent", lambda y: text.jaccard(C("x"), y) >= 0.7)).select("doc_id")
+    d = t.documents.select(C("doc_id").alias("id"), "source", text.tokens(C("text")).alias("tokens"))
+    return setjoin.like_recent(d, "source", 50, 0.7).select(C("id").alias("doc_id")).distinct()
 
 
 # -- chunks and texts

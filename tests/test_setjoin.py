@@ -40,6 +40,19 @@ def test_pairs_equal_all_pairs(spark, like, least):
     assert set(got) == want
 
 
+@pytest.mark.parametrize("stretch", [7, 2000])
+def test_sets_like_one_of_the_recent(spark, stretch):
+    rows = sets()
+    got = [r["id"] for r in setjoin.like_recent(spark.createDataFrame(rows, "id long, tokens array<string>, source string").repartition(3), "source", 5, 0.5, stretch).collect()]
+    want = []
+    for s in ("s0", "s1", "s2"):
+        own = sorted((k, set(x or ())) for k, x, z in rows if z == s)
+        for n, (k, x) in enumerate(own):
+            if any(x and y and len(x & y) / len(x | y) >= 0.5 for _, y in own[max(0, n - 5) : n]):
+                want.append(k)
+    assert sorted(got) == sorted(want)
+
+
 def test_few_pairs_are_looked_at(spark):
     rows = [(k, x, s) for k, x, s in sets(600, 9) if x and k < 1000]
     df = spark.createDataFrame(rows, "id long, tokens array<string>, source string")
