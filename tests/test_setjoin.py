@@ -40,6 +40,19 @@ def test_pairs_equal_all_pairs(spark, like, least):
     assert set(got) == want
 
 
+@pytest.mark.parametrize("slice_", [9, 4096])
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_pairs_within_a_key_without_rows_of_words(spark, least, slice_):
+    rows = sets()
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, source string").withColumn("n", F.col("id") * 2).repartition(4)
+    found = setjoin.alike_within(df, "source", least, ("n",), slice_)
+    got = [tuple(r) for r in found.collect()]
+    held = [(k, set(x), s) for k, x, s in rows if x and s is not None]
+    want = [(min(a, b), max(a, b)) for i, (a, x, s) in enumerate(held) for b, y, z in held[i + 1 :] if s == z and len(x & y) / len(x | y) >= least]
+    assert sorted(got) == sorted((a, b, 2 * a, 2 * b) for a, b in want)
+    assert "explode(tokens" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("stretch", [7, 2000])
 def test_sets_like_one_of_the_recent(spark, stretch):
     rows = sets()
