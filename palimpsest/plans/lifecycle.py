@@ -367,10 +367,7 @@ def set_collapse(t):
 def set_duplicate_proposals(t):
     """Proposals that an earlier proposal or fact on their topic already says."""
     p = atoms(t).where("kind IN ('conjecture', 'fact')").select("id", "kind", "topic_key", text.tokens(C("text")).alias("tokens"))
-    members, pairs = setjoin.alike(p, 0.5, "jaccard", ("topic_key",))
-    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(C("b").alias("a"), C("a").alias("b")))).alias("x")).select("x.a", "x.b")
-    first = both.unionByName(members.select(C("of").alias("a"), C("of").alias("b")).distinct()).groupBy(C("a").alias("of")).agg(F.min("b").alias("first"))  # a class begins with its least id
-    return p.where("kind = 'conjecture'").select("id").join(members, "id").join(first, "of").where("first < id").select("id").distinct()
+    return setjoin.alike_within(p, "topic_key", 0.5, ("kind",)).where("kind_b = 'conjecture'").select(C("b").alias("id")).distinct()
 
 
 @query("topk_blocks", f"WITH {ATOMS} SELECT topic_key, id, row_number() OVER (PARTITION BY topic_key ORDER BY CASE kind WHEN 'decision' THEN 0 WHEN 'preference' THEN 1 WHEN 'fact' THEN 2 ELSE 3 END, confidence DESC, id) AS place FROM atoms WHERE kind <> 'raw_dump' AND confidence >= 0.2")
